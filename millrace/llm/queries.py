@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, exact_dedup, mixing, sharding
+from millrace.llm import decontaminate, exact_dedup, mixing, quality, sharding, toxicity
 from millrace.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,14 @@ def op4_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, d: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
     n_items = F.size("items").cast("bigint")
@@ -36,7 +44,7 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, d, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_sharding, op4_mixing, op7_decontamination, op10_exact_dedup)}
+QUERIES |= {f.__name__: f for f in (op1_sharding, op4_mixing, op5_quality, op6_toxicity, op7_decontamination, op10_exact_dedup)}
 
 SQL["op10_exact_dedup"] = r"""
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as n from documents),
