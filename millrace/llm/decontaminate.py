@@ -35,21 +35,21 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, piece: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, piece: int = SHARD_BYTES, fold: np.ndarray = _FOLD) -> tuple[np.ndarray, np.ndarray]:
     """The words of texts that lie on end in ``data`` (text k in offsets[k]..offsets[k+1]): their hashes and texts.
 
-    Works in pieces cut between words, so that a huge text needs no more memory than its words.
+    ``fold`` gives each byte's value, 0 for bytes between words. Works in pieces cut between words, so that a huge text needs no more memory than its words.
     """
     hashes, owners, at, end = [], [], int(offsets[0]), int(offsets[-1])
     while at < end:
         stop = min(end, at + piece)
         while stop < end:  # back to the last byte that is in no word; on to the next one if there is none
-            gap = np.flatnonzero(_FOLD[data[at:stop]] == 0)
+            gap = np.flatnonzero(fold[data[at:stop]] == 0)
             if len(gap) and gap[-1] > 0:
                 stop = at + int(gap[-1])
                 break
             stop = min(end, stop + piece)
-        folded = _FOLD[data[at:stop]]
+        folded = fold[data[at:stop]]
         inside = folded != 0
         first = inside.copy()
         first[1:] &= ~inside[:-1]
@@ -254,12 +254,12 @@ class TestSet:
         return best
 
 
-def pieces_of(column: pa.Array, most: int = SHARD_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """Slices of whole texts of about ``most`` bytes."""
+def pieces_of(column: pa.Array, most: int = SHARD_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of whole texts of about ``most`` bytes, of at most ``rows`` texts."""
     size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(column):
-        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right"))))
         yield at, column.slice(at, stop - at)
         at = stop
 
