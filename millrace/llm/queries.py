@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, exact_dedup, jaccard, mixing, quality, sharding, toxicity
+from millrace.llm import decontaminate, exact_dedup, jaccard, mixing, quality, sharding, tokens, toxicity
 from millrace.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,11 +44,22 @@ def op8_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return token_table(table(spark, d, "documents"))
+
+
+def token_table(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    path = tokens.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.documents_of(tokens.read_tokens(docs.sparkSession, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, d, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_sharding, op4_mixing, op5_quality, op6_toxicity, op7_decontamination, op8_jaccard, op10_exact_dedup)}
+QUERIES |= {f.__name__: f for f in (op1_sharding, op4_mixing, op5_quality, op6_toxicity, op7_decontamination, op8_jaccard, op9_tokens, op10_exact_dedup)}
 
 SQL["op10_exact_dedup"] = r"""
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as n from documents),

@@ -61,11 +61,12 @@ def present(column: pa.Array, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key >> 32, key & 0xFFFFFFFF
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
-    """L2-penalised logistic regression (last weight: the constant, unpenalised) by Newton steps with conjugate gradients."""
-    n = len(y)
-    ahead = lambda w: np.bincount(rows, values * w[cols], n) + w[-1]
-    back = lambda v: np.r_[np.bincount(cols, values * v[rows], width), v.sum()]
+def logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
+    """L2-penalised logistic regression (last weight: the constant, unpenalised) by Newton steps with conjugate
+    gradients. Row r has the value ``scale[c]`` in column c for each pair (r, c) of ``rows`` and ``cols``."""
+    n, width = len(y), len(scale)
+    ahead = lambda w: np.bincount(rows, (scale * w[:-1])[cols], n) + w[-1]
+    back = lambda v: np.r_[scale * np.bincount(cols, v[rows], width), v.sum()]
     penalty = np.r_[np.full(width, ridge), 1e-6]
     loss = lambda w: np.logaddexp(0, -(2 * y - 1) * ahead(w)).sum() + 0.5 * (penalty * w * w).sum()
     w = np.zeros(width + 1)
@@ -94,7 +95,7 @@ def logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarr
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 4, remainder: int = 2, threshold: float = 0.3, max_rows: int = 20_000, max_features: int = 32_768, least_documents: int = 3, seed: int = 11) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 4, remainder: int = 2, threshold: float = 0.3, max_rows: int = 12_000, max_features: int = 4_096, least_documents: int = 3, seed: int = 11) -> DataFrame:
     """(key, held_out, score, predicted) for every row of ``docs``.
 
     Learns from at most ``max_rows`` labelled rows (a hash sample; this bound keeps the fit on one machine) whose
@@ -154,10 +155,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.binary())], names=["y", "slots"])
 
         got = train.mapInArrow(vectors, "y int, slots binary").toArrow()
-        each = [np.frombuffer(x, np.int32) for x in got.column("slots").to_pylist()]
-        cols = np.concatenate(each)
-        where = np.repeat(np.arange(len(each)), [len(x) for x in each])
-        fitted = logistic(where, cols, ratio[cols], got.column("y").to_numpy().astype(float), len(ratio))
+        lengths = np.array([len(x) // 4 for x in got.column("slots").to_pylist()])
+        cols = np.frombuffer(b"".join(got.column("slots").to_pylist()), np.int32)
+        where = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        fitted = logistic(where, cols, ratio, got.column("y").to_numpy().astype(float))
         weights = np.r_[fitted[:-1] * ratio, fitted[-1]]
     elif n0 + n1:
         weights[-1] = np.log((n1 + 1) / (n0 + 1))
