@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.prefix import running_sums
+from millrace.operators.shared import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -81,3 +82,26 @@ def _cut(rows: DataFrame, key: str, weights: Sequence[float], share: float, most
     taken = (F.col("_epochs") * F.col("_size") + last).alias("taken")
     extra = [F.col("_source").alias(source), "_order"] if source else []
     return joined.select(F.col("_id").alias(key), F.col("_size").alias("size"), "source_size", "target", taken, *extra)
+
+
+def mix_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
+    """The mix itself: rows of ``docs`` (all columns), each as often as the mix takes it whole; rows without words are out.
+
+    What the prefix sums give is a cut for each source: the last row, in the source's hash-random order, that the last
+    epoch takes. Rows are then compared with their source's cut where they are read, so that no text is shuffled. Rows of
+    one key stand at one place of the order and are taken or left together, beyond what the cut counted.
+    """
+    taken = settle(mix(docs, key, text, source, weights, share, most, seed, whole=True, carry=True), "mix")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(F.lit(0))
+    last = (F.col("size") > 0) & (F.col("taken") > epochs * F.col("size"))
+    cut = F.max(F.when(last, F.struct(F.col("_order").alias("o"), F.col(key).alias("k"))))
+    plan = taken.groupBy(F.col(source).alias("_s")).agg(F.max(epochs).cast("int").alias("_epochs"), cut.alias("_cut"))
+    names = docs.columns
+    order = F.xxhash64(F.lit(seed), F.col(f"d.{key}"))
+    before = (order < F.col("_cut.o")) | ((order == F.col("_cut.o")) & (F.col(f"d.{key}").isNull() | (F.col(f"d.{key}") <= F.col("_cut.k"))))
+    copies = F.col("_epochs") + F.when(F.coalesce(before, F.lit(False)), 1).otherwise(0)
+    # a row for each source
+    joined = docs.alias("d").join(F.broadcast(plan).alias("p"), F.col(f"d.{source}").cast("string").eqNullSafe(F.col("p._s")))
+    worded = F.col(f"d.{text}").rlike(r"[^\x20\x09-\x0D]")
+    out = joined.where(worded & (copies > 0)).select(*[F.col(f"d.`{c}`").alias(c) for c in names], F.explode(F.sequence(F.lit(1), copies)).alias("_copy"))
+    return out.drop("_copy")

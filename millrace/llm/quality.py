@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.decontaminate import pieces_of, text_buffers, word_hashes
+from millrace.llm.sieve import Sieve
 from millrace.operators.shared import settle
 
 FOLDS, BINS = 3, 2000
@@ -243,3 +244,34 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     scored = measured.mapInArrow(score, f"_id {kind}, score double")
     return scored.select(F.col("_id").alias(key), out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", modulus: int = 3, remainder: int = 1, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose score is ``threshold`` or more; the model is that of ``score_quality``.
+
+    Only rows that may be labelled are measured for the fit; then every row is scored where it is read, so that no text
+    is shuffled. Without labelled rows all scores are 0.5 and all rows stay for thresholds up to that.
+    """
+    known = settle(label_of(labels, key, label).where(~held_out(F.col("_k"), modulus, remainder)), "labels")
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = [r.tobytes() for _, piece in pieces_of(b.column(1)) for r in statistics(piece)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], names=["_id", "_x"])
+
+    measured = Sieve(known, "_k").passing(rows, "_id").mapInArrow(measure, f"_id {kind}, _x binary")
+    fold = F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int")
+    labelled = measured.join(known, F.col("_id") == F.col("_k")).select("_x", "_y", fold.alias("_fold"))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(settle(labelled, "labelled")))
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s = np.concatenate([shared.value.score(statistics(piece)) for _, piece in pieces_of(b.column(at))])
+                yield b.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
