@@ -117,7 +117,7 @@ def even_cuts(bins: Bins, shards: int, capacity: int, greedy: list[int]) -> list
         want = used + (total - used) / (shards - k + 1)
         i = int(np.searchsorted(ends, want, "left"))
         near = min((j for j in (i, i + 1) if j <= n), key=lambda j: abs((int(ends[j - 1]) if j else 0) - want))
-        done = min(max(near, least), most)
+        done = min(max(near, least, min(done + 1, n)), most)  # a shard takes one group at least, if there is one
         used = int(ends[done - 1]) if done else 0
         cuts.append(done)
     return [*cuts, n] if total - used <= capacity else greedy
