@@ -66,3 +66,30 @@ with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 g as (select doc_id, sha256(n) as text_sha256, min(doc_id) over (partition by n) as keep_id, count(*) over (partition by n) as group_size from t)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from g
 """.strip()
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op7_decontamination"] = rf"""
+with b as (select coalesce(cast(item_id as varchar), 'null') as id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+win as (select distinct id, least(len(w), 8) as n, w[i : i + least(len(w), 8) - 1] as g from b, unnest(range(1, greatest(len(w) - 7, 1) + 1)) as t(i) where len(w) > 0),
+d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+places as (select doc_id, i, n, w[i : i + n - 1] as g from d, (select distinct n from win), unnest(range(1, len(w) - n + 2)) as t(i) where len(w) >= n),
+hit as (select doc_id, i, n, id from places join win using (n, g)),
+words as (select doc_id, count(distinct p) as n_hit from hit, unnest(range(i, i + n)) as t(p) group by 1),
+items as (select doc_id, count(distinct id) as n_items, string_agg(distinct id, ',' order by id) as ids from hit group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+coalesce(n_items, 0) >= 2 as contaminated from d left join words using (doc_id) left join items using (doc_id)
+""".strip()
+
+SQL["op8_jaccard"] = rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) end) as g from d),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y using (g) where x.doc_id < y.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as a, doc_id as b from n union select r.a, e.b from r join e on r.b = e.a)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(m, doc_id) as component_id
+from d left join n using (doc_id) left join (select a as doc_id, min(b) as m from r group by 1) using (doc_id)
+""".strip()
