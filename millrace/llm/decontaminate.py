@@ -20,7 +20,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHARD_BYTES, SLICE_BYTES = 4 << 20, 16 << 20
+SHARD_BYTES, SLICE_BYTES = 1 << 20, 16 << 20
 
 # words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ once A-Z are lower case: digits, letters and all bytes of other code points
 _FOLD = np.zeros(256, np.uint8)
