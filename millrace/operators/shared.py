@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that driver and executors share: the cut of a long lineage.
 
 A table written once and read again is fixed: what is computed from it twice agrees, and a lost executor costs a reread,
-not a recomputation. The folder is ``spark.checkpoint.dir``; only where the session has none, as in tests on one machine,
-a temporary folder is set.
+not a recomputation. The folder is ``spark.checkpoint.dir``; only where a local session has none, as in tests, a
+temporary folder is set.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
