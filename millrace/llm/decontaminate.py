@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from millrace.llm.worker import trimmed
 
 SHARD_BYTES, SLICE_BYTES = 1 << 20, 16 << 20
 
@@ -318,7 +319,7 @@ def find_contamination(docs: DataFrame, tests: DataFrame, key: str = "doc_id", t
                 cols = [*batch.columns[:n_before], pa.array(np.concatenate(counts), pa.int64()), pa.ListArray.from_arrays(cuts, pa.array(flat, span.value_type)), pa.array(items, pa.list_(pa.string())), pa.array(longest)]
                 yield pa.RecordBatch.from_arrays(cols, names=["_text", "_key", *[f.name for f in kept], "n_words", "spans", "items", "longest"])
 
-        frame = frame.mapInArrow(scan, f"_text string, _key {kind}, {ddl}{found}")
+        frame = frame.mapInArrow(trimmed(scan), f"_text string, _key {kind}, {ddl}{found}")
     return frame.select(F.col("_key").alias(key), *[F.col(f.name) for f in kept], "n_words", "spans", "items", "longest")
 
 

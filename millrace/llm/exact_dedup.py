@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.worker import trimmed
 from millrace.operators.shared import settle
 
 # Fixed value: a prime of 120 bits, so that residues fit 15 bytes and accidental equality is out of the question.
@@ -73,7 +74,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", prime: int =
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    hashed = rows.mapInArrow(hash_rows, f"_id {kind}, _fp binary, _len bigint, _sha string")
+    hashed = rows.mapInArrow(trimmed(hash_rows), f"_id {kind}, _fp binary, _len bigint, _sha string")
     # a number, fixed by the write, tells rows of one key apart
     thin = settle(hashed.withColumn("_row", F.monotonically_increasing_id()), "fingerprints")
     first = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row")))
@@ -144,7 +145,7 @@ def _clashes(rows: DataFrame, groups: DataFrame, prime: int, chunk: int) -> Data
             cols = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays(cols, names=["_fp", "_len", "_no", "_piece"])
 
-    cut = rows.select("_text").mapInArrow(pieces, "_fp binary, _len bigint, _no bigint, _piece binary")
+    cut = rows.select("_text").mapInArrow(trimmed(pieces), "_fp binary, _len bigint, _no bigint, _piece binary")
     cut = cut.join(groups.select("_fp", "_len"), ["_fp", "_len"], "left_semi")
     differ = cut.groupBy("_fp", "_len", "_no").agg(F.min("_piece").alias("a"), F.max("_piece").alias("b")).where("a <> b")
     differ = settle(differ.select("_fp", "_len").distinct(), "clashes")

@@ -2,9 +2,10 @@
 
 Rows with one set are one class, so copies never meet. Shingles are ordered rare-first, by the counts of a sketch over
 all documents and then by hash; two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each, and
-only those prefixes are joined, under the length, positional and suffix filters. The filters bound the overlap that a
-common prefix shingle leaves possible: by the sizes, by the places of the shingle in both orders, and by how many of the
-rest (the suffixes) fall into each of a few hash classes.
+only those prefixes are joined, under the length, positional and suffix filters: by the sizes, by the places of the common
+shingle in both orders, and by a lower bound of the Hamming distance. For the last, a set's signature holds for each of
+512 hash classes whether an odd number of its shingles fall there; two signatures differ in at most as many bits as the
+sets differ in shingles, so that most candidates are refused before their texts are fetched.
 
 Since groups, not pairs, are asked for, candidates are taken in two steps that together lose no link. First each prefix
 shingle's documents are verified against one of them, the most central (so a thousand near copies need a thousand
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from millrace.llm.components import components
 from millrace.llm.decontaminate import pieces_of, text_buffers, word_hashes
 from millrace.llm.sieve import Sieve
+from millrace.llm.worker import trimmed
 from millrace.operators.shared import settle
 
 # words are [^\x20\x09-\x0D]+ with A-Z as a-z; values from 1 so that the byte 0 counts
@@ -33,7 +35,7 @@ _WORD[65:91] += 32
 _WORD[[32, 9, 10, 11, 12, 13]] = 0
 KEY_BITS = 52  # of a shingle's hash; the rest numbers the texts of a piece
 PIECE_ROWS = (1 << (64 - KEY_BITS)) - 1
-GROUPS = 8  # hash classes of the suffix filter
+SIGNATURE = 512  # hash classes of the suffix filter, a bit each
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -104,9 +106,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     total = docs.select(F.sum(F.octet_length(text)).alias("s")).first()["s"] or 0
     bits = min(26, max(16, int(total // 256).bit_length()))
     thin, order = _first_pass(rows, kind, bits, width)
-    post = _postings(rows, thin, order, width, percent)
-    links, tagged = _star_links(rows, thin, post, width, percent)
-    more = _cross_links(rows, thin, tagged, links, width, percent)
+    post, signs = _postings(rows, order, width, percent)
+    links, tagged = _star_links(rows, thin, post, signs, width, percent)
+    more = _cross_links(rows, thin, tagged, signs, links, width, percent)
     roots = components(more)
     named = thin.where("_n > 0").groupBy("_c").agg(F.min("_id").alias("_least"))
     named = named.join(roots.select(F.col("node").alias("_c"), "root"), "_c", "left").withColumn("root", F.coalesce("root", "_c"))
@@ -149,7 +151,7 @@ def _first_pass(rows: DataFrame, kind: str, bits: int, width: int) -> tuple[Data
                     values = [pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i // chunk], pa.int32()), pa.array([part], pa.int32()), pa.array([np.minimum(c, 255).astype(np.uint8).tobytes()], pa.binary()), pa.array([high], pa.binary())]
                     yield pa.RecordBatch.from_arrays(values, names=names)
 
-    both = settle(rows.mapInArrow(measure, f"_id {kind}, _n bigint, _c bigint, _chunk int, _part int, _low binary, _high binary"), "sets")
+    both = settle(rows.mapInArrow(trimmed(measure), f"_id {kind}, _n bigint, _c bigint, _chunk int, _part int, _low binary, _high binary"), "sets")
     thin = both.where("_chunk is null").select("_id", "_n", "_c")
 
     def add(group: pa.Table) -> pa.Table:
@@ -179,9 +181,9 @@ def _first_pass(rows: DataFrame, kind: str, bits: int, width: int) -> tuple[Data
     return thin, order
 
 
-def _postings(rows: DataFrame, thin: DataFrame, order: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(k, c, n, i, q, f): prefix shingle, class, set size, place in the order, centrality, and the suffix's sizes by
-    hash class; one row for each class and prefix shingle of a task, of shingles that at least two classes have."""
+def _postings(rows: DataFrame, order: np.ndarray, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(k, c, n, i, q): prefix shingle, class, set size, place in the order and centrality, of prefix shingles that at
+    least two classes have; and (c, f): the signature of each class."""
     shared = rows.sparkSession.sparkContext.broadcast(order)  # 2^26 bytes at most
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,20 +210,21 @@ def _postings(rows: DataFrame, thin: DataFrame, order: np.ndarray, width: int, p
                 start = np.cumsum(n) - n
                 i = np.arange(len(t)) - start[t]
                 head = i < prefix_length(n, percent)[t]
-                group = (s >> 3) % GROUPS
-                left = np.zeros((len(t) + 1, GROUPS), np.int32)
-                np.cumsum(group[:, None] == np.arange(GROUPS), axis=0, out=left[1:])
                 h = np.flatnonzero(head)
-                f = left[(start + n)[t[h]]] - left[h + 1]
-                cols = [pa.array(s[h]), pa.array(c[t[h]]), pa.array(n[t[h]].astype(np.int32)), pa.array(i[h].astype(np.int32)), pa.array(q[t[h]].astype(np.int32))]
-                cols.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS * 4), len(h), [None, pa.py_buffer(np.ascontiguousarray(f, np.int32).tobytes())]).cast(pa.binary()))
+                odd = np.bincount(t * SIGNATURE + (s >> 3) % SIGNATURE, minlength=len(piece) * SIGNATURE) & 1
+                bits = np.packbits(odd.astype(bool)).reshape(-1, SIGNATURE // 8)
+                lead = i[h] == 0  # the first posting of a class carries its signature
+                ends = np.r_[0, np.cumsum(lead * (SIGNATURE // 8))].astype(np.int32)
+                f = pa.BinaryArray.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(bits[t[h[lead]]].tobytes())])
+                cols = [pa.array(s[h]), pa.array(c[t[h]]), pa.array(n[t[h]].astype(np.int32)), pa.array(i[h].astype(np.int32)), pa.array(q[t[h]].astype(np.int32)), f]
                 yield pa.RecordBatch.from_arrays(cols, names=["k", "c", "n", "i", "q", "f"])
 
-    post = settle(rows.select("_text").mapInArrow(emit, "k bigint, c bigint, n int, i int, q int, f binary"), "postings")
+    post = settle(rows.select("_text").mapInArrow(trimmed(emit), "k bigint, c bigint, n int, i int, q int, f binary"), "postings")
     spread = post.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
     spread = settle(spread, "common")
-    sifted = Sieve(spread, "k").passing(post, "k")
-    return settle(sifted.join(spread, "k", "left_semi").dropDuplicates(["k", "c"]), "candidates")
+    sifted = Sieve(spread, "k").passing(post.drop("f"), "k")
+    shared_keys = settle(sifted.join(spread, "k", "left_semi").dropDuplicates(["k", "c"]), "candidates")
+    return shared_keys, settle(post.where("i = 0").select("c", "f").dropDuplicates(["c"]), "signatures")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -232,40 +235,39 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return fits & (rest + 1 >= least_common(n, m, percent))
 
 
-def _suffix_filter(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b, an, bn, ai, bi, af, bf): the distinct pairs whose suffixes can still hold the overlap. A shingle
-    falls into the same hash class in both sets, so the suffixes share at most the smaller size of each class."""
+def _suffix_filter(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b, an, bn): the distinct pairs (a, b), a < b, whose signatures differ in no more bits than similar sets
+    differ in shingles."""
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if not x.num_rows:
                 continue
-            n, m, i, j = (x.column(k).to_numpy().astype(np.int64) for k in (2, 3, 4, 5))
-            f, g = (np.frombuffer(b"".join(x.column(k).to_pylist()), np.int32).reshape(-1, GROUPS) for k in (6, 7))
-            need = -(-percent * (n + m) // (100 + percent))
-            most = np.minimum(i, j) + 1 + np.minimum(f, g).sum(1)
-            yield pa.RecordBatch.from_arrays(x.columns[:2], names=["a", "b"]).filter(pa.array(most >= need))
+            both = x.column(2).to_numpy().astype(np.int64) + x.column(3).to_numpy()
+            f, g = (np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64) for k in (4, 5))
+            apart = np.bitwise_count(f ^ g).sum(1, dtype=np.int64)
+            most = both - 2 * -(-percent * both // (100 + percent))
+            yield pa.RecordBatch.from_arrays(x.columns[:2], names=["a", "b"]).filter(pa.array(apart <= most))
 
-    return pairs.select("a", "b", "an", "bn", "ai", "bi", "af", "bf").mapInArrow(sift, "a bigint, b bigint").distinct()
+    swap = F.col("a") > F.col("b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("bn")).otherwise(F.col("an")).alias("an"), F.when(swap, F.col("an")).otherwise(F.col("bn")).alias("bn")).distinct()
+    pairs = pairs.join(signs.withColumnsRenamed({"c": "a", "f": "af"}), "a").join(signs.withColumnsRenamed({"c": "b", "f": "bf"}), "b")
+    return pairs.select("a", "b", "an", "bn", "af", "bf").mapInArrow(sift, "a bigint, b bigint")
 
 
-def _star_links(rows: DataFrame, thin: DataFrame, post: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _star_links(rows: DataFrame, thin: DataFrame, post: DataFrame, signs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Verified links of every posting with its shingle's most central one; and the postings with their components."""
-    centre = post.groupBy("k").agg(F.max(F.struct("q", "c", "n", "i", "f")).alias("p"))
+    centre = post.groupBy("k").agg(F.max(F.struct("q", "c", "n", "i")).alias("p"))
     near = post.join(centre, "k").where("c <> p.c")
-    pairs = near.select(F.col("c").alias("a"), F.col("p.c").alias("b"), F.col("n").alias("an"), F.col("p.n").alias("bn"), F.col("i").alias("ai"), F.col("p.i").alias("bi"), F.col("f").alias("af"), F.col("p.f").alias("bf"))
-    pairs = _ordered(_suffix_filter(pairs.where(_may_link("a", "b", percent)), percent))
+    pairs = near.select(F.col("c").alias("a"), F.col("p.c").alias("b"), F.col("n").alias("an"), F.col("p.n").alias("bn"), F.col("i").alias("ai"), F.col("p.i").alias("bi"))
+    pairs = _suffix_filter(pairs.where(_may_link("a", "b", percent)), signs, percent)
     links = _verify(rows, thin, settle(pairs, "pairs"), width, percent)
     roots = components(links)
     tagged = post.join(roots.select(F.col("node").alias("c"), "root"), "c", "left")
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")), settle(tagged.withColumn("root", F.coalesce("root", "c")), "tagged")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _cross_links(rows: DataFrame, thin: DataFrame, tagged: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
+def _cross_links(rows: DataFrame, thin: DataFrame, tagged: DataFrame, signs: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
     """``links`` and those of all candidate pairs that lie in two components.
 
     Of such a pair at least one side is outside the component of its shingle's most central posting; those sides are
@@ -275,12 +277,12 @@ def _cross_links(rows: DataFrame, thin: DataFrame, tagged: DataFrame, links: Dat
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(base)) + F.lit(1e-9)).cast("int")
     main = tagged.groupBy("k").agg(F.max(F.struct("q", "c", "root")).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     rest = settle(tagged.join(main.select("k", F.col("m.root").alias("main")), "k").withColumn("band", band), "open")
-    fields = ("c", "n", "i", "f", "root")
+    fields = ("c", "n", "i", "root")
     side = rest.where("root <> main").select("k", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *[F.col(x).alias(f"a{x}") for x in fields])
     other = rest.select("k", "band", "main", *[F.col(x).alias(f"b{x}") for x in fields])
     apart = (F.col("aroot") != F.col("broot")) & ((F.col("broot") == F.col("main")) | (F.col("ac") < F.col("bc")))
     pairs = side.join(other, ["k", "band"]).where(apart & _may_link("a", "b", percent))
-    pairs = _ordered(_suffix_filter(pairs.withColumnsRenamed({"ac": "a", "bc": "b"}), percent))
+    pairs = _suffix_filter(pairs.withColumnsRenamed({"ac": "a", "bc": "b"}), signs, percent)
     found = _verify(rows, thin, settle(pairs, "pairs"), width, percent)
     return links.union(found)
 
@@ -291,17 +293,17 @@ def _verify(rows: DataFrame, thin: DataFrame, pairs: DataFrame, width: int, perc
     # a class's texts are found by its rows' ids, then told apart by the class itself
     spoken = thin.where("_n > 0").join(wanted, "_c").groupBy("_c").agg(F.min(F.struct(F.col("_id").isNotNull().alias("x"), F.col("_id").alias("id"))).alias("m"))
     ids = settle(spoken.select("_c", F.coalesce(F.hash("m.id"), F.lit(0)).cast("bigint").alias("h"), F.col("m.id").alias("_i")), "speakers")
-    named = rows.withColumn("h", F.hash("_id").cast("bigint"))
-    near = Sieve(ids, "h").passing(named, "h")
+    sieve, hashed = Sieve(ids, "h"), F.xxhash64(F.hash("_id").cast("bigint")).alias("_h")
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pa.array(sieve.test(b.column(2))))
             for at, piece in pieces_of(b.column(1), rows=PIECE_ROWS):
                 _, c = set_classes(*shingle_sets(piece, width), len(piece))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(piece)), piece, pa.array(c)], names=["_id", "_text", "_k"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    spelt = near.select("_id", "_text").mapInArrow(classify, f"_id {kind}, _text string, _k bigint")
+    spelt = rows.select("_id", "_text", hashed).mapInArrow(trimmed(classify), f"_id {kind}, _text string, _k bigint")
     spelt = spelt.join(ids, (F.col("_k") == F.col("_c")) & F.col("_id").eqNullSafe(F.col("_i"))).select("_c", "_text")
     # rows that repeat an id with one set have the same class: one of them speaks
     texts = settle(spelt.dropDuplicates(["_c"]), "texts")
@@ -320,7 +322,7 @@ def _verify(rows: DataFrame, thin: DataFrame, pairs: DataFrame, width: int, perc
                 common = np.bincount(both, minlength=m)
                 yield pa.RecordBatch.from_arrays(pair.columns[:2], names=["a", "b"]).filter(pa.array(100 * common >= percent * (n - common)))
 
-    return settle(with_both.mapInArrow(compare, "a bigint, b bigint"), "links")
+    return settle(with_both.mapInArrow(trimmed(compare), "a bigint, b bigint"), "links")
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -338,17 +340,18 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     at, body = f"_{columns.index(key)}", f"_{columns.index(text)}"
     back = [F.col(f"_{i}").alias(c) for i, c in enumerate(columns)]
     alone = sieve.passing(numbered, "h", keep=False).select(*back)
-    unsure, place = sieve.passing(numbered, "h"), numbered.columns.index(body)
+    unsure, place = numbered.withColumn("_s", F.xxhash64("h")), numbered.columns.index(body)
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pa.array(sieve.test(b.column(len(b.columns) - 1))))
             for start, piece in pieces_of(b.column(place), rows=PIECE_ROWS):
                 n, c = set_classes(*shingle_sets(piece, width), len(piece))
                 part = b.slice(start, len(piece))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(c, mask=n == 0)], names=[*part.schema.names, "_class"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in unsure.schema.fields)
-    unsure = unsure.mapInArrow(classify, f"{ddl}, _class bigint")
+    unsure = unsure.mapInArrow(trimmed(classify), f"{ddl}, _class bigint")
     keys = grouped.select("_k", "_of", "_g", F.lit(True).alias("_in")).distinct()
     met = unsure.join(keys, F.col(at).eqNullSafe(F.col("_k")) & (F.col("_class") == F.col("_of")), "left")
     single = met.where("_in is null").select(*back)

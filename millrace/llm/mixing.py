@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.prefix import running_sums
+from millrace.llm.worker import trimmed
 from millrace.operators.shared import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,7 +30,7 @@ def word_counts(df: DataFrame, text: str, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([n if i == at else b.column(i) for i in range(len(columns))], names=[name if c == text else c for c in columns])
 
     ddl = ", ".join(f"`{name}` bigint" if f.name == text else f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(count, ddl)
+    return df.mapInArrow(trimmed(count), ddl)
 
 
 def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:

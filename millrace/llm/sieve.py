@@ -28,17 +28,19 @@ class Sieve:
         table[got.column(0).to_numpy()] = got.column(1).to_numpy()
         self.shared = keys.sparkSession.sparkContext.broadcast(table)  # at most 16 MB
 
+    def test(self, hashes: pa.Array) -> np.ndarray:
+        """Which of these ``xxhash64`` values may be entered; for batch functions."""
+        table, at = self.shared.value, hashes.to_numpy(zero_copy_only=False) & ((1 << self.bits) - 1)
+        return ((table[at >> 6] >> (at & 63)) & 1).astype(bool)
+
     def passing(self, rows: DataFrame, column: str, keep: bool = True) -> DataFrame:
         """The rows whose ``column`` may be entered (``keep`` False: those whose column surely isn't; NULL isn't)."""
-        shared, mask, columns = self.shared, (1 << self.bits) - 1, rows.columns
+        columns = rows.columns
 
         def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = shared.value
             for b in batches:
-                h = b.column(len(columns)).to_numpy(zero_copy_only=False)
                 there = b.column(columns.index(column)).is_valid().to_numpy(zero_copy_only=False)
-                at = h & mask
-                hit = ((table[at >> 6] >> (at & 63)) & 1).astype(bool) & there
+                hit = self.test(b.column(len(columns))) & there
                 yield pa.RecordBatch.from_arrays(b.columns[:-1], names=columns).filter(pa.array(hit if keep else ~hit))
 
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
