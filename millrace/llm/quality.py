@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.decontaminate import pieces_of, text_buffers, word_hashes
 from millrace.llm.sieve import Sieve
+from millrace.llm.worker import trimmed
 from millrace.operators.shared import settle
 
 FOLDS, BINS = 3, 2000
@@ -150,7 +151,7 @@ def fit(labelled: DataFrame, dims: int = 256, width: float = 6.0, seed: int = 7,
     got = rows.select("_x").mapInArrow(moments, "n bigint, s binary, q binary").collect()
     n = sum(r["n"] for r in got)
     if not n:
-        return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros((WIDTH, 1)), np.zeros(1), np.zeros((FOLDS + 1, 2)), np.zeros(1), np.full(1, 0.5))
+        return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros((WIDTH, 1)), np.zeros(1), np.tile([0.0, 0.5], (FOLDS + 1, 1)), np.zeros(1), np.full(1, 0.5))
     mean = sum(np.frombuffer(r["s"]) for r in got) / n
     scale = np.sqrt(np.maximum(sum(np.frombuffer(r["q"]) for r in got) / n - mean**2, 1e-6))
     rng = np.random.default_rng(seed)
@@ -230,7 +231,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    measured = settle(rows.mapInArrow(measure, f"_id {kind}, _x binary"), "statistics")
+    measured = settle(rows.mapInArrow(trimmed(measure), f"_id {kind}, _x binary"), "statistics")
     out = held_out(F.col("_id"), modulus, remainder)
     fold = F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int")
     known = measured.where(~out).join(label_of(labels, key, label), F.col("_id") == F.col("_k"))
@@ -254,15 +255,17 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """
     known = settle(label_of(labels, key, label).where(~held_out(F.col("_k"), modulus, remainder)), "labels")
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.xxhash64(key).alias("_h"))
+    sieve = Sieve(known, "_k")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pa.array(sieve.test(b.column(2))))
             if b.num_rows:
                 x = [r.tobytes() for _, piece in pieces_of(b.column(1)) for r in statistics(piece)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], names=["_id", "_x"])
 
-    measured = Sieve(known, "_k").passing(rows, "_id").mapInArrow(measure, f"_id {kind}, _x binary")
+    measured = rows.mapInArrow(trimmed(measure), f"_id {kind}, _x binary")
     fold = F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int")
     labelled = measured.join(known, F.col("_id") == F.col("_k")).select("_x", "_y", fold.alias("_fold"))
     shared = docs.sparkSession.sparkContext.broadcast(fit(settle(labelled, "labelled")))
@@ -274,4 +277,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
                 s = np.concatenate([shared.value.score(statistics(piece)) for _, piece in pieces_of(b.column(at))])
                 yield b.filter(pa.array(s >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(trimmed(keep), docs.schema)

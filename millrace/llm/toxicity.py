@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.decontaminate import _FOLD, pieces_of, text_buffers
 from millrace.llm.quality import held_out, label_of
+from millrace.llm.worker import trimmed
 from millrace.operators.shared import settle
 
 BITS, ORDERS = 20, (3, 4, 5)
@@ -38,8 +39,10 @@ def ngram_buckets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     stream = raw[at].astype(np.uint64)
     head = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     # an edge before a text's first word and after its last
-    stream, owner = np.insert(stream, head, 0), np.insert(owner, head, owner[head])
-    stream, owner = np.append(stream, np.uint64(0)), np.append(owner, owner[-1])
+    tail = np.r_[head[1:], len(stream)]
+    tail = tail[stream[tail - 1] != 0]
+    owner = np.insert(owner, np.r_[tail, head], np.r_[owner[tail - 1], owner[head]])
+    stream = np.insert(stream, np.r_[tail, head], 0)
     packed = stream.copy()
     for n in range(2, max(ORDERS) + 1):
         packed = (packed[:-1] << np.uint64(8)) | stream[n - 1 :]
@@ -135,7 +138,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     n0, n1 = (int(v or 0) for v in train.agg(F.sum(1 - F.col("_y")), F.sum("_y")).first())
     slot, ratio = np.full(1 << BITS, -1, np.int64), np.zeros(0)
     if n0 and n1:
-        counts = train.coalesce(16).mapInArrow(frequencies, "bucket int, n0 int, n1 int").groupBy("bucket").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
+        counts = train.coalesce(16).mapInArrow(trimmed(frequencies), "bucket int, n0 int, n1 int").groupBy("bucket").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
         r = F.log(((F.col("b") + 1) / (n1 + 2)) / ((F.col("a") + 1) / (n0 + 2)))
         weighty = counts.where(F.col("a") + F.col("b") >= least_documents).select("bucket", r.alias("r"), (F.abs(r) * F.sqrt(F.col("a") + F.col("b"))).alias("e"))
         best = weighty.orderBy(F.desc("e"), "bucket").limit(max_features).toArrow()  # the features kept: at most max_features rows
@@ -154,7 +157,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
                     parts += [s[i:j].astype(np.int32).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.binary())], names=["y", "slots"])
 
-        got = train.mapInArrow(vectors, "y int, slots binary").toArrow()
+        got = train.mapInArrow(trimmed(vectors), "y int, slots binary").toArrow()
         lengths = np.array([len(x) // 4 for x in got.column("slots").to_pylist()])
         cols = np.frombuffer(b"".join(got.column("slots").to_pylist()), np.int32)
         where = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
@@ -174,5 +177,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
             p = 1 / (1 + np.exp(-np.clip(s + w[-1], -35, 35)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["_id", "score"])
 
-    scored = rows.mapInArrow(score, f"_id {kind}, score double")
+    scored = rows.mapInArrow(trimmed(score), f"_id {kind}, score double")
     return scored.select(F.col("_id").alias(key), out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
