@@ -19,11 +19,11 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
+BLOCK = 2048
 MAGIC = b"MXC1"
 UNIT = 12  # order 0's ids share 2^UNIT units, whatever the number of slots
-SNAPSHOTS = tuple((at, min(at, 2048)) for at in (16, 32, 64, 128, 256, 512, 1024, 2048, 3072))  # when, of how many ids
-C1, C2 = 1024, 2048  # contexts of order 1 and 2
+SNAPSHOTS = tuple((at, min(at, 1024)) for at in (16, 32, 64, 128, 256, 512, 1024, 1536))  # when, of how many ids
+C1, C2 = 512, 1024  # contexts of order 1 and 2
 MASK, TOP, BOTTOM = (1 << 48) - 1, 1 << 32, 1 << 24
 SCALE = 1 << 16
 CAP1, CAP2, FLOOR = 16384, 40960, 96  # of SCALE for each id prediction; the rest is order 0's at least
@@ -41,6 +41,7 @@ class Model:
         self.w1, self.w2 = np.full(lanes * 32, 2048, I), np.full(lanes * 32, 2048, I)
         self.o1, self.o2, self.ow = lane * C1, lane * C2, lane * 32
         self.i1, self.i2, self.before = self.o1, self.o2, np.zeros(lanes, I)
+        self.learns = True
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For the first ``n`` lanes: order 2's and order 1's ids and their shares of SCALE."""
@@ -58,8 +59,9 @@ class Model:
         return self.g2, self.g1, self.f2, self.f1
 
     def update(self, n: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """``hit1`` without the hits of order 2."""
-        for w, f, hit, cap in ((self.w2, self.f2, hit2, CAP2), (self.w1, self.f1, hit1, CAP1)):
+        """``hit1`` without the hits of order 2. The weights learn from every second id."""
+        self.learns = not self.learns  # the coder of the other side does the same
+        for w, f, hit, cap in () if self.learns else ((self.w2, self.f2, hit2, CAP2), (self.w1, self.f1, hit1, CAP1)):
             step = hit * (cap - FLOOR)
             step += FLOOR
             step -= f
@@ -104,28 +106,35 @@ class Snapshot:
         self.first = flat % m
         self.keys = (flat // m << 32) | self.rows.ravel()[flat]
 
-    def find(self, x: np.ndarray, number: np.ndarray | None, kinds: int) -> tuple[np.ndarray, np.ndarray]:
-        """For ids (steps, lanes): first unit and end unit, 2^UNIT and 0 where the id is not there. ``number``: ids to
-        0..kinds, for a table of all of them; None: by binary search."""
+    def index(self, number: np.ndarray | None, kinds: int) -> None:
+        """Prepare ``find``. ``number``: ids to 0..kinds, for a table of all of them; None: by binary search."""
+        self.number, self.kinds = number, kinds
         if not self.m:
-            return np.full(x.shape, 1 << UNIT), np.zeros(x.shape, I)
-        lanes = x.shape[1]
-        first, end = self.first << self.shift, (self.first + self.count) << self.shift
+            return
+        self.first <<= self.shift
+        self.end = self.first + (self.count << self.shift)
         if number is not None:
-            at = (self.keys >> 32) * kinds + number[self.keys & 0xFFFFFFFF]
-            starts, ends = np.full(lanes * kinds, 1 << UNIT, np.int32), np.zeros(lanes * kinds, np.int32)
-            starts[at], ends[at] = first, end
-            key = (np.arange(lanes, dtype=I) * kinds + number[x]).ravel()
-            return starts.take(key).astype(I).reshape(x.shape), ends.take(key).astype(I).reshape(x.shape)
-        key = ((np.arange(lanes, dtype=I) << 32) | x).ravel()
+            self.table = np.full(len(self.rows) * kinds, 1 << UNIT + 13, np.int32)  # first unit and end unit in one number
+            self.table[(self.keys >> 32) * kinds + number[self.keys & 0xFFFFFFFF]] = self.first << 13 | self.end
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For ids (steps, lanes): first unit and end unit, 2^UNIT and 0 where the id is not there."""
+        lane = np.arange(x.shape[1], dtype=I)
+        if not self.m:
+            return np.full(x.shape, 1 << UNIT), np.zeros(x.shape, I)
+        if self.number is not None:
+            found = self.table.take(self.number[x] + lane * self.kinds).astype(I)
+            return found >> 13, found & 8191
+        key = ((lane << 32) | x).ravel()
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         there = self.keys[at] == key
-        return np.where(there, first[at], 1 << UNIT).reshape(x.shape), np.where(there, end[at], 0).reshape(x.shape)
+        return np.where(there, self.first[at], 1 << UNIT).reshape(x.shape), np.where(there, self.end[at], 0).reshape(x.shape)
 
-    def spread(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each lane and slot: its id's first and end unit."""
-        first = np.repeat(self.first << self.shift, self.count)
-        return first, np.repeat((self.first + self.count) << self.shift, self.count)
+    def spread(self) -> np.ndarray:
+        """For each lane and slot, in one number: id, first unit and end unit."""
+        first = self.first << self.shift
+        end = (self.first + self.count) << self.shift
+        return np.repeat((self.keys & 0xFFFFFFFF) << 26 | first << 13 | end, self.count)
 
 
 def _division(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -292,23 +301,26 @@ def encode(ids: np.ndarray) -> bytes:
     n = len(ids)
     lanes, last = _blocks(n)
     steps = BLOCK if lanes > 1 else last
-    grid = np.zeros(lanes * BLOCK, I)
+    grid = np.zeros(lanes * BLOCK, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK)[:, :steps].T)  # step by step
     model, coder = Model(lanes), Encoder(lanes)
     wide = n > 0 and int(ids.max()) > 0xFFFF
     number, kinds = _alphabet(grid, lanes)
     for begin, end, of in _stages(steps):
-        snap = Snapshot(grid[begin - of : begin].astype(np.int32))
-        starts, ends = snap.find(grid[begin:end], number, kinds)
-        unseen = ends == 0
+        snap = Snapshot(grid[begin - of : begin])
+        snap.index(number, kinds)
         for t in range(begin, end):
+            k = (t - begin) % 64
+            if not k:
+                starts, ends = snap.find(grid[t : min(t + 64, end)])
+                unseen = ends == 0
             m = lanes if t < last else lanes - 1
-            x, escape = grid[t, :m], unseen[t - begin, :m]
+            x, escape = grid[t, :m].astype(I), unseen[k, :m]
             g2, g1, f2, f1 = model.predict(m)
             hit2 = g2 == x
             hit1 = (g1 == x) & ~hit2
-            start, size = _interval(starts[t - begin, :m], ends[t - begin, :m], escape, f2, f1, hit2, hit1, SCALE - f2 - f1)
+            start, size = _interval(starts[k, :m], ends[k, :m], escape, f2, f1, hit2, hit1, SCALE - f2 - f1)
             coder.put(slice(0, m), start, size)
             raw = np.flatnonzero(escape & ~hit2 & ~hit1)
             if len(raw):
@@ -347,8 +359,7 @@ def decode(data: bytes) -> np.ndarray:
     for begin, end, of in _stages(steps):
         snap = Snapshot(grid[begin - of : begin])
         if of:
-            starts, ends = snap.spread()
-            rows, row = snap.rows.ravel(), lane * of
+            slots, row = snap.spread(), lane * of
         for t in range(begin, end):
             m = lanes if t < last else lanes - 1
             every = slice(0, m)
@@ -369,8 +380,12 @@ def decode(data: bytes) -> np.ndarray:
                 slot >>= snap.shift
                 np.clip(slot, 0, of - 1, out=slot)
                 slot += row[:m]
-                x, a, b = rows.take(slot).astype(I), starts.take(slot), ends.take(slot)
-                a[escape] = 1 << UNIT
+                x = slots.take(slot)
+                b = x & 8191
+                a = x >> 13
+                a &= 8191
+                x >>= 26
+                np.copyto(a, 1 << UNIT, where=escape)
             else:
                 escape = ~(hit2 | hit1)
                 x, a, b = np.zeros(m, I), np.full(m, 1 << UNIT), np.zeros(m, I)

@@ -9,6 +9,8 @@ documents, with the end id), ``data``.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import uuid
 import zlib
@@ -22,12 +24,36 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import mixcoder
+from millrace.llm.worker import release, trimmed
 from millrace.operators.shared import shared_dir
 
-SEGMENT = 4 << 20  # ids after which a segment is closed
-_MEMORY = 400_000  # words whose ids a worker remembers
+SEGMENT = 3 << 20  # ids after which a segment is closed
+_MEMORY = 150_000  # words whose ids a worker remembers
 _BLANKS = re.compile(r" (?=\s)|\s \Z|^ ")
 _CUT = re.compile(r"(?= \S)")
+_FIRST = " "  # marks a word that has no space before it; others are kept without theirs and never begin with white space
+
+
+_PARTS = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]+)?(\n)?([A-Za-zÀ-ÖØ-öø-ÿ]+)?([.,]+)?")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level tokenizer writes each byte: printable ones as they are, the others from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (chr(256 + i) for i in range(256))
+    return {b: chr(b) if b in plain else next(others) for b in range(256)}
+
+
+class _Memory(dict):
+    """Word to number; a word not seen before gets the next number and is noted in ``new``."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        n = self[word] = len(self)
+        return n
 
 
 class WordEncoder:
@@ -35,29 +61,34 @@ class WordEncoder:
 
     A byte-level tokenizer splits a text at white space before it merges anything: a space before a character that isn't
     white space always begins a new piece. So a text cut there has the ids of its pieces on end, and words that come
-    again are not encoded again. Tokenizers of other kinds encode whole texts.
+    again are not encoded again. A new word that consists of letters, full stops or commas and single line feeds splits
+    further into pieces that go to the library's model directly; any other is encoded as a small text. Tokenizers of
+    other kinds encode whole texts.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = '"ByteLevel"' in (kind := self.tokenizer.to_str().partition('"pre_tokenizer"')[2][:400]) and '"add_prefix_space":false' in kind.replace(" ", "") and '"normalizer":null' in self.tokenizer.to_str().replace(" ", "")
+        parts = json.loads(self.tokenizer.to_str())
+        split = parts.get("pre_tokenizer") or {}
+        self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not parts.get("normalizer")
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool, self.used = np.zeros(1 << 20, np.int32), 0
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.known = _Memory()
+        self.pool, self.used = np.zeros(1 << 18, np.int32), 0
+        self.start, self.size = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids on end, and the number of each text's."""
         if not self.by_word:
             got = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            return np.array([i for x in got for i in x], np.int64), np.array([len(x) for x in got], np.int64)
+            return np.array([i for x in got for i in x], np.int32), np.array([len(x) for x in got], np.int64)
         if len(self.known) > _MEMORY:
             self.forget()
-        words: list[str] = []
+        words: list[str] = []  # without the space before; a text's first word after a mark
         counts = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             if not text:
@@ -65,40 +96,50 @@ class WordEncoder:
             if _BLANKS.search(text):
                 cut = _CUT.split(text)
                 cut = cut[1:] if cut and not cut[0] else cut
+                cut = [w[1:] if w[0] == " " and w[1:2].strip() else _FIRST + w for w in cut]
             else:  # single spaces between words only
                 cut = text.split(" ")
-                cut[1:] = [" " + w for w in cut[1:]]
+                cut[0] = _FIRST + cut[0]
             counts[k] = len(cut)
             words += cut
-        known = self.known
-        at = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            fresh = list(dict.fromkeys([words[i] for i in new.tolist()]))
-            self._learn(fresh)
-            at[new] = np.fromiter((known[words[i]] for i in new.tolist()), np.int64, len(new))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
         size = self.size[at].astype(np.int64)
         ends = np.cumsum(size)
         place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[at] - (ends - size), size)
         bounds = np.r_[0, ends][np.cumsum(np.r_[0, counts])]
-        return self.pool[place].astype(np.int64), np.diff(bounds)
+        return self.pool[place], np.diff(bounds)
 
     def _learn(self, words: list[str]) -> None:
+        """Append the ids of ``words``, which have the last numbers."""
+        got: list[list[int]] = []
+        others: list[tuple[int, str]] = []
+        tokenize, letters = self.model.tokenize, self.letters
+        for word in words:
+            word = word[len(_FIRST) :] if word.startswith(_FIRST) else " " + word
+            if parts := _PARTS.fullmatch(word):
+                got.append([t.id for piece in parts.groups() if piece for t in tokenize(piece.encode().decode("latin-1").translate(letters))])
+            else:
+                others.append((len(got), word))
+                got.append([])
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for i in range(0, len(words), 20_000):
-            got = [e.ids for e in encode(words[i : i + 20_000], add_special_tokens=False)]
-            sizes = np.array([len(x) for x in got], np.int64)
-            flat = np.array([t for x in got for t in x], np.int32)
-            n, base = len(self.known), self.used
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while n + len(got) > len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            self.pool[base : base + len(flat)] = flat
-            self.start[n : n + len(got)] = base + np.cumsum(sizes) - sizes
-            self.size[n : n + len(got)] = sizes
-            self.used += len(flat)
-            self.known.update(zip(words[i : i + 20_000], range(n, n + len(got)), strict=True))
+        for i in range(0, len(others), 20_000):
+            some = others[i : i + 20_000]
+            for (k, _), e in zip(some, encode([w for _, w in some], add_special_tokens=False), strict=True):
+                got[k] = e.ids
+        sizes = np.array([len(x) for x in got], np.int32)
+        flat = np.array([t for x in got for t in x], np.int32)
+        n = len(self.known) - len(words)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while len(self.known) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.start[n : n + len(got)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(got)] = sizes
+        self.used += len(flat)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -106,8 +147,6 @@ _encoders: dict[str, WordEncoder] = {}
 
 def encoder_of(path: str) -> WordEncoder:
     """One for each worker process, kept between tasks."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
@@ -135,8 +174,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, key:
         held, before, seg = 0, 0, 0
 
         def close() -> pa.RecordBatch:
-            size = np.concatenate(sizes)
-            flat = np.concatenate(ids)
+            size, flat = np.concatenate(sizes), np.concatenate(ids)
+            ids.clear()
             names = ["part", "seg", "tokens", "before", "keys", "sizes", "data"]
             whole = pa.concat_arrays(keys)
             cols = [pa.array([part], pa.int32()), pa.array([seg], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([before], pa.int64())]
@@ -149,7 +188,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, key:
             while at < batch.num_rows:
                 stop = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + chunk, "right")))
                 flat, size = encoder.ids(batch.column(1).slice(at, stop - at).to_pylist())
-                out = np.full(len(flat) + len(size), end_id, np.int64)
+                out = np.full(len(flat) + len(size), end_id, np.int32)
                 keep = np.ones(len(out), bool)
                 keep[np.cumsum(size + 1) - 1] = False
                 out[keep] = flat
@@ -160,13 +199,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, key:
                 at = stop
                 if held >= segment:
                     yield close()
+                    release()
                     before, seg, held = before + held, seg + 1, 0
                     keys, sizes, ids = [], [], []
         if held:
             yield close()
 
     ddl = f"part int, seg int, tokens bigint, before bigint, keys array<{kind.simpleString()}>, sizes array<bigint>, data binary"
-    ordered.mapInArrow(pack, ddl).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(trimmed(pack), ddl).write.option("compression", "none").parquet(path)
     return path
 
 
@@ -199,5 +239,5 @@ def documents_of(segments: DataFrame, key: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(1)[i].values, pa.array(start), pa.array(size), pa.array(crc), blob.cast(pa.binary())], names=["_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     inputs = placed.select((F.col("_offset") + F.col("before")).alias("from"), "keys", "sizes", "data")
-    out = inputs.mapInArrow(unpack, f"_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    out = inputs.mapInArrow(trimmed(unpack), f"_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
     return out.select(F.col("_id").alias(key), "start", "n_tokens", "ids_crc32", "ids")

@@ -54,7 +54,7 @@ def test_words_have_the_ids_of_whole_texts():
     rnd = random.Random(1)
     pieces = ["word", "Ünï", "日本", "don't", "'s", "12", "!!", " ", "  ", "\n", "\t", " ", " ", "\x1c", "\x85", "<|endoftext|>", "a.b", "ſ", "é", "\r\n", "'", " 's", "🙂"]
     texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(30))) for _ in range(1500)]
-    texts += ["", " ", "  ", "a ", " a", "a  b", "a \n b", "a\n  b ", "x" * 5000, "one two three"]
+    texts += ["", " ", "  ", "a ", " a", "a  b", "a \n b", "a\n  b ", "x" * 5000, "one two three", "b", "a \x00\x00b", "\x00b", "a b"]
     whole = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
     encoder = tokens.WordEncoder(PATH)
     assert encoder.by_word
