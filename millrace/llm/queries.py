@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, exact_dedup, jaccard, mixing, quality, sharding, tokens, toxicity
+from millrace.llm import decontaminate, exact_dedup, jaccard, line_dedup, mixing, quality, sharding, tokens, toxicity
 from millrace.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,10 @@ def op1_sharding(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, d, "documents")).select("doc_id", "line_no", "kept")
+
+
 def op4_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -59,7 +63,7 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, d, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_sharding, op4_mixing, op5_quality, op6_toxicity, op7_decontamination, op8_jaccard, op9_tokens, op10_exact_dedup)}
+QUERIES |= {f.__name__: f for f in (op1_sharding, op2_line_dedup, op4_mixing, op5_quality, op6_toxicity, op7_decontamination, op8_jaccard, op9_tokens, op10_exact_dedup)}
 
 SQL["op10_exact_dedup"] = r"""
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as n from documents),
