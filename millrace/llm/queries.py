@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, exact_dedup, jaccard, line_dedup, mixing, quality, sharding, tokens, toxicity
+from millrace.llm import decontaminate, exact_dedup, jaccard, line_dedup, mixing, quality, sharding, tokens, toxicity, warc
 from millrace.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,16 @@ def op2_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, d, "documents")).select("doc_id", "line_no", "kept")
 
 
+def op3_revisits(spark: SparkSession, d: str) -> DataFrame:
+    """The table has captures only, so each page stands for a full response and, next in time, a re-request of its URL."""
+    pages = table(spark, d, "pages").select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("etag"))
+    nothing = [F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("map<string,string>").alias("headers")]
+    page = F.col("page_id")
+    full = pages.select((page * 2).alias("record_id"), "url", (page * 2).alias("ts"), F.lit("response").alias("kind"), "etag", *nothing)
+    again = pages.select((page * 2 + 1).alias("record_id"), "url", (page * 2 + 1).alias("ts"), F.lit("revisit").alias("kind"), "etag", *nothing)
+    return warc.resolve_revisits(full.unionByName(again)).select("record_id", "response_id", "resolved")
+
+
 def op4_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -63,7 +73,7 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, d, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_sharding, op2_line_dedup, op4_mixing, op5_quality, op6_toxicity, op7_decontamination, op8_jaccard, op9_tokens, op10_exact_dedup)}
+QUERIES |= {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_revisits, op4_mixing, op5_quality, op6_toxicity, op7_decontamination, op8_jaccard, op9_tokens, op10_exact_dedup)}
 
 SQL["op10_exact_dedup"] = r"""
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as n from documents),
