@@ -205,7 +205,8 @@ def _postings(rows: DataFrame, order: np.ndarray, width: int, percent: int) -> t
                 rank = order[s & mask].astype(np.int64)
                 n = np.where(fresh, n, 0)
                 q = np.bincount(t, rank, len(piece)) * 1000 / np.maximum(n, 1)
-                sort = np.argsort((t << 52) | (rank << 44) | (s >> 8), kind="stable")
+                # unsigned: a piece's texts take all 12 bits above the rest
+                sort = np.argsort((t.astype(np.uint64) << np.uint64(KEY_BITS)) | ((rank << 44) | (s >> 8)).astype(np.uint64), kind="stable")
                 t, s = t[sort], s[sort]
                 start = np.cumsum(n) - n
                 i = np.arange(len(t)) - start[t]

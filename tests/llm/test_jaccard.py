@@ -63,6 +63,18 @@ def test_against_brute_force(spark, seed, bases, copies, edits, length):
     assert run(spark, docs) == brute(docs)
 
 
+def test_many_short_texts_in_one_partition(spark):
+    rnd = random.Random(6)
+    docs = []
+    for i in range(1300):
+        w = [f"w{rnd.randrange(3000)}" for _ in range(22)]
+        docs += [(i, " ".join(w)), (5000 + i, " ".join(w + ["end"]))]
+    rnd.shuffle(docs)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame).collect()], key=str)
+    assert got == brute(docs) and sum(d != c for d, _, c in got) == 1300
+
+
 def test_other_thresholds(spark):
     docs = corpus(4, 15, 5, 12, (20, 60))
     assert run(spark, docs, width=2, percent=70) == brute(docs, 2, 70)
