@@ -91,12 +91,13 @@ def rarity(counts: np.ndarray) -> np.ndarray:
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
-    """(key, n_shingles, component_id, class_id) for every row of ``docs``.
+    """(key, n_shingles, component_id, class_id, root) for every row of ``docs``.
 
     A document's set: its distinct ``width``-word shingles (words [^\\x20\\x09-\\x0D]+, A-Z as a-z); with fewer words the
     whole sequence as one; without words, or NULL, empty and linked with nothing. Two documents link when
     100 * intersection >= ``percent`` * union. component_id: the smallest key reachable over links, the own one included
-    (NULL keys count only where there is no other). class_id is the same for equal sets (NULL: empty).
+    (NULL keys count only where there is no other). class_id is the same for equal sets (NULL: empty). root tells
+    components apart where keys repeat or are NULL: the class_id of one of its sets (NULL: empty).
 
     Repeated keys are ordinary rows. An empty table gives an empty result. Sets are compared by 52-bit hashes of their
     shingles.
@@ -114,7 +115,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     named = named.join(roots.select(F.col("node").alias("_c"), "root"), "_c", "left").withColumn("root", F.coalesce("root", "_c"))
     named = settle(named, "classes")
     least = named.groupBy("root").agg(F.min("_least").alias("component"))
-    named = named.join(least, "root").select("_c", "component")
+    named = named.join(least, "root").select("_c", "component", "root")
     out = thin.join(named, "_c", "left")
     empty = F.col("_n") == 0
     return out.select(
@@ -122,6 +123,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.col("_n").alias("n_shingles"),
         F.when(empty, F.col("_id")).otherwise(F.col("component")).alias("component_id"),
         F.when(~empty, F.col("_c")).alias("class_id"),
+        F.when(~empty, F.col("root")).alias("root"),
     )
 
 
@@ -332,9 +334,9 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     Rows that surely have no partner pass straight through; only the others meet the table of decisions.
     """
     found = settle(jaccard_components(docs, key, text, width, percent), "components")
-    worded = found.where("n_shingles > 0").select(F.col(key).alias("_k"), F.col("class_id").alias("_of"), F.col("component_id").alias("_g"))
-    groups = worded.groupBy(F.col("_g").alias("_m")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    grouped = settle(worded.join(groups, F.col("_g").eqNullSafe(F.col("_m")), "left_semi"), "grouped")
+    worded = found.where("n_shingles > 0").select(F.col(key).alias("_k"), F.col("class_id").alias("_of"), F.col("component_id").alias("_g"), F.col("root").alias("_r"))
+    groups = worded.groupBy("_r").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    grouped = settle(worded.join(groups, "_r", "left_semi"), "grouped")
     hashes = grouped.select(F.coalesce(F.hash("_k"), F.lit(0)).cast("bigint").alias("h"))
     sieve, columns = Sieve(hashes, "h"), docs.columns
     numbered = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)], F.coalesce(F.hash(key), F.lit(0)).cast("bigint").alias("h"))
@@ -353,8 +355,8 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in unsure.schema.fields)
     unsure = unsure.mapInArrow(trimmed(classify), f"{ddl}, _class bigint")
-    keys = grouped.select("_k", "_of", "_g", F.lit(True).alias("_in")).distinct()
+    keys = grouped.select("_k", "_of", "_g", "_r", F.lit(True).alias("_in")).distinct()
     met = unsure.join(keys, F.col(at).eqNullSafe(F.col("_k")) & (F.col("_class") == F.col("_of")), "left")
     single = met.where("_in is null").select(*back)
-    first = met.where(F.col("_in") & F.col(at).eqNullSafe(F.col("_g"))).dropDuplicates(["_g"])
+    first = met.where(F.col("_in") & F.col(at).eqNullSafe(F.col("_g"))).dropDuplicates(["_r"])
     return alone.unionByName(single).unionByName(first.select(*back))

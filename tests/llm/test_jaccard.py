@@ -92,3 +92,11 @@ def test_empty_table_and_survivors(spark):
     empty = [d for d, n, c in want if not n]
     ids = sorted((r.doc_id for r in got), key=str)
     assert ids == sorted([*with_words, *empty], key=str)
+
+
+def test_survivors_where_keys_repeat_or_are_null(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    docs = [(None, a), (None, a + " more"), (None, b), (1, c), (1, d), (2, d + " more"), (None, c + " less"), (None, None), (None, "")]
+    kept = jaccard.drop_near_copies(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()
+    got = sorted(((r.doc_id, (r.text or "")[:1]) for r in kept), key=str)
+    assert got == sorted([(None, "a"), (None, "b"), (1, "c"), (1, "d"), (None, ""), (None, "")], key=str)
