@@ -20,6 +20,7 @@ from millrace.llm.worker import trimmed
 from millrace.operators.shared import settle
 
 BITS, ORDERS = 20, (3, 4, 5)
+BLOCK = 1 << 20  # pairs (row, column) that the fit works on at a time
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,10 +67,12 @@ def present(column: pa.Array, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
     """L2-penalised logistic regression (last weight: the constant, unpenalised) by Newton steps with conjugate
-    gradients. Row r has the value ``scale[c]`` in column c for each pair (r, c) of ``rows`` and ``cols``."""
+    gradients. Row r has the value ``scale[c]`` in column c for each pair (r, c) of ``rows`` and ``cols``. Besides the
+    pairs, memory holds vectors and a block of pairs."""
     n, width = len(y), len(scale)
-    ahead = lambda w: np.bincount(rows, (scale * w[:-1])[cols], n) + w[-1]
-    back = lambda v: np.r_[scale * np.bincount(cols, v[rows], width), v.sum()]
+    blocks = [slice(i, i + BLOCK) for i in range(0, len(rows), BLOCK)]
+    ahead = lambda w: sum((np.bincount(rows[b], (scale * w[:-1])[cols[b]], n) for b in blocks), np.zeros(n)) + w[-1]
+    back = lambda v: np.r_[scale * sum((np.bincount(cols[b], v[rows[b]], width) for b in blocks), np.zeros(width)), v.sum()]
     penalty = np.r_[np.full(width, ridge), 1e-6]
     loss = lambda w: np.logaddexp(0, -(2 * y - 1) * ahead(w)).sum() + 0.5 * (penalty * w * w).sum()
     w = np.zeros(width + 1)
@@ -98,7 +101,7 @@ def logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarra
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 4, remainder: int = 2, threshold: float = 0.3, max_rows: int = 12_000, max_features: int = 4_096, least_documents: int = 3, seed: int = 11) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 4, remainder: int = 2, threshold: float = 0.3, max_rows: int = 20_000, max_features: int = 32_768, least_documents: int = 3, seed: int = 11) -> DataFrame:
     """(key, held_out, score, predicted) for every row of ``docs``.
 
     Learns from at most ``max_rows`` labelled rows (a hash sample; this bound keeps the fit on one machine) whose
@@ -147,6 +150,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     weights = np.zeros(len(ratio) + 1)
     slots = spark.sparkContext.broadcast(slot.astype(np.int32))  # 2^BITS numbers
     if len(ratio):
+        kind_of = np.min_scalar_type(len(ratio) - 1)
 
         def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -154,14 +158,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
                 for _, piece in pieces_of(b.column(1)):
                     text, s = present(piece, slots.value)
                     cuts = np.searchsorted(text, np.arange(len(piece) + 1))
-                    parts += [s[i:j].astype(np.int32).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                    parts += [s[i:j].astype(kind_of).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.binary())], names=["y", "slots"])
 
         got = train.mapInArrow(trimmed(vectors), "y int, slots binary").toArrow()
-        lengths = np.array([len(x) // 4 for x in got.column("slots").to_pylist()])
-        cols = np.frombuffer(b"".join(got.column("slots").to_pylist()), np.int32)
-        where = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        fitted = logistic(where, cols, ratio, got.column("y").to_numpy().astype(float))
+        lengths = pa.compute.binary_length(got.column("slots")).to_numpy() // kind_of.itemsize
+        cols = np.concatenate([np.frombuffer(b"".join(c.to_pylist()), kind_of) for c in got.column("slots").chunks])
+        y = got.column("y").to_numpy().astype(float)
+        del got
+        where = np.repeat(np.arange(len(lengths), dtype=np.min_scalar_type(len(lengths))), lengths)
+        fitted = logistic(where, cols, ratio, y)
         weights = np.r_[fitted[:-1] * ratio, fitted[-1]]
     elif n0 + n1:
         weights[-1] = np.log((n1 + 1) / (n0 + 1))

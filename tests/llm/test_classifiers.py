@@ -89,6 +89,18 @@ def test_bounded_sample(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in rows]) > 0.85
 
 
+def test_many_rare_toxic_words(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12))
+    common, own = [word() for _ in range(30)], [[word() for _ in range(400)] for _ in (0, 1)]
+    docs, labels = [], []
+    for i in range(6400):
+        docs.append((i, " ".join([*rnd.choices(common, k=3), own[i % 2][i // 2 % 400]]), "en", "x"))
+        labels.append((i, 1, i % 2))
+    rows = run(spark, docs, labels, "toxic")
+    assert np.mean([r.predicted == r.doc_id % 2 for r in rows if r.held_out]) > 0.97
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.arange(6.0), np.array([0, 0.5, 0.3, 0.3, 1, 0.9]), np.array([1, 1, 2, 1, 1, 3]))
     assert np.all(np.diff(y) > 0) and np.all(np.diff(x) > 0)
