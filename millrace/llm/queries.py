@@ -23,14 +23,34 @@ def op2_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, d, "documents")).select("doc_id", "line_no", "kept")
 
 
+def capture_records(pages: DataFrame) -> DataFrame:
+    """Eight captures of each page's URL, since the table has no revisits: responses and not-modified answers over time,
+    the URL in several spellings, validators that change or are missing, headers. A hash of page and capture decides."""
+    k, h = F.col("k"), F.pmod(F.xxhash64("page_id", "k"), F.lit(1 << 30))
+    digit = lambda at, base: F.pmod(F.shiftright(h, at), F.lit(base))
+    rows = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("md5"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    # captures overlap in time: the order of ts isn't that of record_id
+    rows = rows.withColumn("ts", F.when(digit(0, 41) > 0, k * 10 + digit(3, 25)).cast("bigint"))
+    version = F.floor(F.coalesce("ts", F.lit(0)) / 30).cast("string")
+    head = F.regexp_extract("url", "^[^:]*://[^/?#]*", 0)
+    rest = F.col("url").substr(F.length(head) + 1, F.length("url"))
+    port = F.when(head.startswith("https:"), ":443").otherwise(":80")
+    spelt = F.when(digit(6, 4) == 0, F.concat(F.upper(head), rest)).when(digit(6, 4) == 1, F.concat(head, port, rest))
+    spelt = spelt.when(digit(6, 4) == 2, F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#c"), k.cast("string"))).otherwise(F.col("url"))
+    etag = F.when(digit(8, 5) > 0, F.concat("md5", F.lit("-"), version))
+    pairs = {"content-type": F.concat(F.lit("text/html;v="), version), "date": F.col("ts").cast("string"), "etag": etag, "cache-control": F.when(digit(11, 2) > 0, F.concat(F.lit("max-age="), k.cast("string")))}
+    headers = F.map_filter(F.create_map(*[x for name, v in pairs.items() for x in (F.lit(name), v)]), lambda _, v: v.isNotNull())
+    return rows.select(
+        (F.col("page_id") * 8 + k).alias("record_id"), spelt.alias("url"), "ts", F.when(digit(13, 3) == 0, "response").otherwise("revisit").alias("kind"),
+        etag.alias("etag"), F.when(digit(15, 3) > 0, version).alias("last_modified"), F.when(digit(17, 6) > 0, headers).alias("headers"),
+    )
+
+
 def op3_revisits(spark: SparkSession, d: str) -> DataFrame:
-    """The table has captures only, so each page stands for a full response and, next in time, a re-request of its URL."""
-    pages = table(spark, d, "pages").select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("etag"))
-    nothing = [F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("map<string,string>").alias("headers")]
-    page = F.col("page_id")
-    full = pages.select((page * 2).alias("record_id"), "url", (page * 2).alias("ts"), F.lit("response").alias("kind"), "etag", *nothing)
-    again = pages.select((page * 2 + 1).alias("record_id"), "url", (page * 2 + 1).alias("ts"), F.lit("revisit").alias("kind"), "etag", *nothing)
-    return warc.resolve_revisits(full.unionByName(again)).select("record_id", "response_id", "resolved")
+    """Headers as JSON, sorted by name."""
+    found = warc.resolve_revisits(capture_records(table(spark, d, "pages")))
+    headers = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("headers"))))
+    return found.select("record_id", "response_id", "resolved", headers.alias("headers"))
 
 
 def op4_mixing(spark: SparkSession, d: str) -> DataFrame:

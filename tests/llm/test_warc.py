@@ -1,4 +1,8 @@
-from millrace.llm.warc import resolve_revisits
+import json
+import re
+
+from millrace.llm import queries
+from millrace.llm.warc import PERMITTED, resolve_revisits
 
 SCHEMA = "record_id bigint, url string, ts bigint, kind string, etag string, last_modified string, headers map<string,string>, _url string"
 
@@ -20,3 +24,26 @@ def test_revisits(spark):
     assert got[5] == (2, False, None)
     assert [got[i] for i in (6, 7, 8)] == [(None, False, None)] * 3
     assert resolve_revisits(spark.createDataFrame([], SCHEMA).drop("_url")).count() == 0
+
+
+def plain(url):
+    scheme, host, rest = re.match(r"([^:]*)://([^/?]*)(.*)", url.split("#")[0].strip(), re.S).groups()
+    scheme, host = scheme.lower(), host.lower()
+    return f"{scheme}://{host.removesuffix({'http': ':80', 'https': ':443'}[scheme])}{rest}".removesuffix("/")
+
+
+def test_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    records = queries.capture_records(spark.read.parquet(f"{d}/pages.parquet")).collect()
+    want = {}
+    for r in (r for r in records if r.kind == "revisit"):
+        before = [x for x in records if x.kind == "response" and None not in (x.ts, r.ts) and (x.ts, x.record_id) < (r.ts, r.record_id) and plain(x.url) == plain(r.url)]
+        x = max(before, key=lambda x: (x.ts, x.record_id), default=None)
+        ok = x is not None and all(None in (r[c], x[c]) or r[c] == x[c] for c in ("etag", "last_modified"))
+        merged = {**(x.headers or {}), **{k: v for k, v in (r.headers or {}).items() if k in PERMITTED}} if ok else None
+        want[r.record_id] = (x and x.record_id, ok, merged)
+    got = {r.record_id: (r.response_id, r.resolved, r.headers and json.loads(r.headers)) for r in queries.op3_revisits(spark, d).collect()}
+    assert got == want
+    assert {(a is None, b) for a, b, _ in want.values()} == {(True, False), (False, False), (False, True)}
+    assert any(a and a != r - 1 for r, (a, _, _) in want.items()) and any(len(h or ()) > 2 for _, _, h in want.values())
+    assert len({r.url for r in records}) > len({plain(r.url) for r in records})
