@@ -127,3 +127,16 @@ r as (select doc_id as a, doc_id as b from n union select r.a, e.b from r join e
 select doc_id, coalesce(n, 0) as n_shingles, coalesce(m, doc_id) as component_id
 from d left join n using (doc_id) left join (select a as doc_id, min(b) as m from r group by 1) using (doc_id)
 """.strip()
+
+SQL["op2_line_dedup"] = r"""
+with l as (select doc_id, pos - 1 as no, line from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents) where line <> ''),
+o as (select *, row_number() over (order by doc_id nulls first, no) as r from l),
+d as (select line, length(line) as n, min(r) as r from o group by line),
+k as (select line, n, r, m, left(line, m // 2) as part, 0 as side from (select *, unnest([n, n - 1]) as m from d) where m > 0
+union all select line, n, r, m, right(line, m - m // 2), 1 from (select *, unnest([n, n - 1]) as m from d) where m > 0),
+p as (select distinct x.line as x, y.line as y from k x join k y using (m, part, side) where y.r < x.r and least(x.n, y.n) = m),
+s as (select x, if(length(x) < length(y), x, y) as a, if(length(x) < length(y), y, x) as b from p),
+near as (select distinct x from s where len(list_filter(range(length(b)), lambda i: left(b, i) = left(a, i)
+and substr(b, i + 2) = if(length(a) = length(b), substr(a, i + 2), substr(a, i + 1)))) > 0)
+select doc_id, cast(no as int) as line_no, o.r = d.r and near.x is null as kept from o join d using (line) left join near on near.x = o.line
+""".strip()
