@@ -8,7 +8,8 @@ from millrace.llm import jaccard
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(docs, width=3, percent=90):
+def linked(docs, width, percent):
+    """Each row's set and the number of its component."""
     sets = []
     for _, t in docs:
         w = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -25,11 +26,16 @@ def brute(docs, width=3, percent=90):
             a, b = sets[i], sets[j]
             if a and b and 100 * len(a & b) >= percent * len(a | b):
                 root[find(i)] = find(j)
+    return sets, [find(i) for i in range(len(docs))]
+
+
+def brute(docs, width=3, percent=90):
+    sets, root = linked(docs, width, percent)
     least = {}
-    for i, (d, _) in enumerate(docs):
+    for (d, _), r in zip(docs, root, strict=True):
         if d is not None:
-            least[find(i)] = min(d, least.get(find(i), d))
-    return sorted(((d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(docs)), key=str)
+            least[r] = min(d, least.get(r, d))
+    return sorted(((d, len(s), least.get(r) if s else d) for (d, _), s, r in zip(docs, sets, root, strict=True)), key=str)
 
 
 def run(spark, docs, **how):
@@ -86,12 +92,15 @@ def test_empty_table_and_survivors(spark):
     frame = spark.createDataFrame([(d, t, i, "x") for i, (d, t) in enumerate(docs)], "doc_id bigint, text string, component_id int, h string")
     kept = jaccard.drop_near_copies(frame)
     assert kept.columns == frame.columns
-    got = kept.collect()
-    want = brute(docs)
-    with_words = {c for d, n, c in want if n}
-    empty = [d for d, n, c in want if not n]
-    ids = sorted((r.doc_id for r in got), key=str)
-    assert ids == sorted([*with_words, *empty], key=str)
+    # a row of each component with its smallest key, and all rows without words: components, not smallest keys, count
+    sets, root = linked(docs, 3, 90)
+    groups = {}
+    for (d, _), words, r in zip(docs, sets, root, strict=True):
+        if words:
+            groups.setdefault(r, []).append(d)
+    want = [min((d for d in g if d is not None), default=None) for g in groups.values()]
+    want += [d for (d, _), words in zip(docs, sets, strict=True) if not words]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
 def test_survivors_where_keys_repeat_or_are_null(spark):
