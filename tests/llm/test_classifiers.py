@@ -124,7 +124,44 @@ def test_logistic_reaches_the_optimum():
     x = (rng.random((200, 5)) < 0.4) * np.array([1.0, -2, 0.5, 3, 1])
     y = (rng.random(200) < 1 / (1 + np.exp(-(x @ np.array([1, 0.5, 0, -1, 0.2]))))).astype(float)
     r, c = np.nonzero(x)
-    w = toxicity.logistic(r, c, np.array([1.0, -2, 0.5, 3, 1]), y, steps=40)
+    x_ = toxicity.Matrix(np.r_[0, np.cumsum(np.bincount(r, minlength=200))], c.astype(np.uint16), np.array([1.0, -2, 0.5, 3, 1]))
+    w = toxicity.logistic(x_, y, gain=1e-9)
     p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
     grad = np.r_[x.T @ (p - y) + w[:-1], (p - y).sum() + 1e-6 * w[-1]]
     assert np.abs(grad).max() < 1e-2
+
+
+def test_matrix_products(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 40)
+    rng = np.random.default_rng(1)
+    there = rng.random((70, 23)) < np.r_[0.0, np.linspace(0, 0.6, 69)][:, None]
+    there[:, 5] = False
+    scale = rng.normal(size=23)
+    r, c = np.nonzero(there)
+    m = toxicity.Matrix(np.r_[0, np.cumsum(there.sum(1))], c.astype(np.uint8), scale)
+    w, v = rng.normal(size=23), rng.normal(size=70)
+    assert np.allclose(m.ahead(w), (there * scale) @ w) and np.allclose(m.back(v), (there * scale).T @ v)
+
+
+def test_distinct_ngrams_of_each_text(monkeypatch):
+    monkeypatch.setattr(toxicity, "PLACES", 1000)
+    rng = random.Random(3)
+    texts = pa.array([None, "", *[" ".join(rng.choice(["abcab", "cab", "bé", "aaaaaa"]) for _ in range(rng.randrange(9))) for _ in range(50)]])
+    slot = np.full(1 << toxicity.BITS, -1, np.int32)
+    pairs = [(o, b) for bucket, owner in toxicity.ngram_buckets(texts) for b, o in zip(bucket.tolist(), owner.tolist(), strict=True)]
+    some = sorted({b for _, b in pairs})[::2]
+    slot[some] = np.arange(len(some))
+    text, found = toxicity.present(texts, slot, len(some))
+    assert (np.diff(text) >= 0).all()
+    assert sorted(zip(text.tolist(), found.tolist(), strict=True)) == sorted({(o, int(slot[b])) for o, b in pairs if slot[b] >= 0})
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """A labelled key may stand on any number of rows: the bound counts rows, and a repeated text once."""
+    taken = []
+    settled = toxicity.settle
+    monkeypatch.setattr(toxicity, "settle", lambda df, name: (taken.append((name, settled(df, name))), taken[-1][1])[1])
+    docs = [(1, f"bad words number {i % 90}", "en", "x") for i in range(600)] + [(i, "good words", "en", "x") for i in range(2, 30)] + [(None, None, "en", "x"), (40, None, "en", "x")]
+    rows = run(spark, docs, [(1, 1, 1), *[(i, 1, 0) for i in range(2, 41)], (None, 1, 1)], "toxic", max_rows=50)
+    n = dict((name, df.count()) for name, df in taken)["training"]
+    assert 20 < n <= 50 and len(rows) == len(docs)
