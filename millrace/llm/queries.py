@@ -26,9 +26,10 @@ def op2_line_dedup(spark: SparkSession, d: str) -> DataFrame:
 def capture_records(pages: DataFrame) -> DataFrame:
     """Eight captures of each page's URL, since the table has no revisits: responses and not-modified answers over time,
     the URL in several spellings, validators that change or are missing, headers. A hash of page and capture decides."""
-    k, h = F.col("k"), F.pmod(F.xxhash64("page_id", "k"), F.lit(1 << 30))
+    k, h = F.col("k"), F.col("h")
     digit = lambda at, base: F.pmod(F.shiftright(h, at), F.lit(base))
     rows = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("md5"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    rows = rows.withColumn("h", F.conv(F.substring(F.md5(F.concat_ws("-", "page_id", "k").cast("binary")), 1, 7), 16, 10).cast("bigint"))
     # captures overlap in time: the order of ts isn't that of record_id
     rows = rows.withColumn("ts", F.when(digit(0, 41) > 0, k * 10 + digit(3, 25)).cast("bigint"))
     version = F.floor(F.coalesce("ts", F.lit(0)) / 30).cast("string")
@@ -50,7 +51,7 @@ def op3_revisits(spark: SparkSession, d: str) -> DataFrame:
     """Headers as JSON, sorted by name."""
     found = warc.resolve_revisits(capture_records(table(spark, d, "pages")))
     headers = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("headers"))))
-    return found.select("record_id", "response_id", "resolved", headers.alias("headers"))
+    return found.select("record_id", "response_id", "resolved", "checked", headers.alias("headers"))
 
 
 def op4_mixing(spark: SparkSession, d: str) -> DataFrame:
@@ -140,3 +141,24 @@ near as (select distinct x from s where len(list_filter(range(length(b)), lambda
 and substr(b, i + 2) = if(length(a) = length(b), substr(a, i + 2), substr(a, i + 1)))) > 0)
 select doc_id, cast(no as int) as line_no, o.r = d.r and near.x is null as kept from o join d using (line) left join near on near.x = o.line
 """.strip()
+
+SQL["op3_revisits"] = r"""
+with p as (select page_id, url, md5(coalesce(html, '')) as md, unnest(range(8)) as k from pages),
+h as (select *, cast('0x' || substr(md5(page_id || '-' || k), 1, 7) as bigint) as h, regexp_extract(url, '^[^:]*://[^/?#]*') as head from p),
+t as (select *, if(h % 41 > 0, k * 10 + (h >> 3) % 25, null) as ts, substr(url, length(head) + 1) as rest from h),
+v as (select *, cast(coalesce(ts, 0) // 30 as varchar) as ver from t),
+c as (select page_id * 8 + k as record_id, ts, (h >> 13) % 3 = 0 as response, if((h >> 8) % 5 > 0, md || '-' || ver, null) as etag, if((h >> 15) % 3 > 0, ver, null) as modified,
+(h >> 17) % 6 > 0 as has, 'text/html;v=' || ver as kind, cast(ts as varchar) as date, if((h >> 11) % 2 > 0, 'max-age=' || k, null) as cache,
+case (h >> 6) % 4 when 0 then upper(head) || rest when 1 then head || if(starts_with(head, 'https:'), ':443', ':80') || rest
+when 2 then regexp_replace(url, '#.*$', '') || '#c' || k else url end as url from v),
+b as (select *, regexp_replace(trim(url), '#.*$', '') as bare from c),
+s as (select *, regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*') as site from b),
+u as (select *, regexp_replace(regexp_replace(lower(site), '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1') || if(substr(bare, length(site) + 1, 1) = '/', '', '/') || substr(bare, length(site) + 1) as page,
+row_number() over (order by ts, record_id) as at from s),
+j as (select x.*, y.record_id as response_id, y.etag as e, y.modified as m, y.has as h, y.kind as k, y.date as d, y.cache as a from (select * from u where not response) x
+asof left join (select * from u where response and url is not null and ts is not null) y on x.page = y.page and x.ts is not null and x.at > y.at),
+r as (select *, coalesce(etag = e, modified = m) as agree from j)
+select record_id, response_id, coalesce(agree, false) as resolved, agree is not null as checked,
+if(agree, '{' || concat_ws(',', '"cache-control":"' || coalesce(if(has, cache, null), if(h, a, null)) || '"', '"content-type":"' || if(h, k, null) || '"', '"date":"' || coalesce(if(has, date, null), if(h, d, null)) || '"',
+'"etag":"' || coalesce(if(has, etag, null), if(h, e, null)) || '"') || '}', null) as headers from r
+""".strip()
