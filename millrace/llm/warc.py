@@ -27,16 +27,11 @@ def canonical(url: Column) -> Column:
     """Scheme and host in lower case, without the scheme's usual port and the fragment; an empty path is "/". User and
     password, path and query stay as they are; NULL stays NULL."""
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
-    scheme = F.regexp_extract(bare, "^[A-Za-z][A-Za-z0-9+.-]*://", 0)
-    after = bare.substr(F.length(scheme) + 1, F.length(bare))
-    site = F.when(scheme != "", F.regexp_extract(after, "^[^/?]*", 0)).otherwise(F.lit(""))
-    user = F.regexp_extract(site, "^.*@", 0)
-    host = F.lower(site.substr(F.length(user) + 1, F.length(site)))
-    low = F.lower(scheme)
-    host = F.when(low == "http://", F.regexp_replace(host, ":80$", "")).when(low == "https://", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    rest = after.substr(F.length(site) + 1, F.length(after))
-    root = F.when((scheme != "") & ((rest == "") | rest.startswith("?")), "/").otherwise("")
-    return F.concat(low, user, host, root, rest)
+    rooted = F.regexp_replace(bare, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)(?=[?]|$)", "$1/")
+    part = lambda k: F.regexp_extract(rooted, "(?s)^([A-Za-z][A-Za-z0-9+.-]*://)([^/?]*@)?([^/?]*)(.*)$", k)
+    low = F.when(part(1) != "", F.concat(F.lower(part(1)), part(2), F.lower(part(3)), part(4))).otherwise(bare)
+    without = F.regexp_replace(low, "^(http://(?:[^/?]*@)?[^/?@]*):80(?=/)", "$1")
+    return F.regexp_replace(without, "^(https://(?:[^/?]*@)?[^/?@]*):443(?=/)", "$1")
 
 
 def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
