@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 from millrace.operators.shared import settle
 
 
+FEW = 200_000  # rows of a table that goes to every task; larger ones are joined by exchanges, which AQE splits where hot
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast in a join if it has few rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def running_sums(df: DataFrame, group: str, order: Sequence[str], value: str, name: str = "before") -> DataFrame:
     """``df`` with the column ``name``: the sum of ``value`` (bigint, not NULL) over the rows of the same ``group`` that
     stand before the row in ``order``.
@@ -52,5 +60,5 @@ def running_sums(df: DataFrame, group: str, order: Sequence[str], value: str, na
     earlier = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("_part").alias("_p"), "_group", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
     both = (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_group"))
-    out = placed.join(F.broadcast(offsets), both, "left")
+    out = placed.join(checked(settle(offsets, "offsets")), both, "left")
     return out.select(*columns, (F.col("_within") + F.col("_offset")).alias(name))
