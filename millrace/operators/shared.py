@@ -32,12 +32,17 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
+    register(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def register(spark: SparkSession, path: str) -> None:
+    """A folder that ``release`` is to delete."""
+    _written.append((spark, path))
+
+
 def release(spark: SparkSession) -> None:
-    """Delete the tables that ``settle`` wrote; frames that read them must be done."""
+    """Delete the registered folders, those that ``settle`` wrote among them; frames that read them must be done."""
     for owner, path in [w for w in _written if w[0] is spark]:
         with contextlib.suppress(Exception):
             jvm, conf = owner._jvm, owner._jsc.hadoopConfiguration()
