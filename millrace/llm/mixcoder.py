@@ -1,15 +1,19 @@
 """An adaptive context-mixing range coder for token ids.
 
-Ids are cut into blocks of ``BLOCK``; each block starts from an empty model, so that it can be decoded alone, and has a
-checksum. Three models predict the next id: order 2 and order 1 name the id that last followed the same two or one ids
-(hashed contexts), with a confidence; order 0 is the distribution of the block's ids so far, taken anew at a growing
-step. Their shares are mixed by adaptive weights, one pair for each state of the two confidences, and the mixed
-distribution drives one arithmetic coding step. An id that order 0 has not seen is escaped and sent as it is.
-
-All blocks of a segment are coded in lockstep: a step handles one id of every block with array operations.
-
-Segment: magic "MXC1", block size, ids, blocks, whether ids exceed 16 bits (u32 each); for each block its length in 16-bit words and the CRC-32 of
-its ids as little-endian u32 (u32 each); the CRC-32 of all that (u32); then the blocks' words.
+Ids are cut into blocks of ``BLOCK``; each block starts from an empty model, so that it can be decoded alone with the
+segment's head, and has a checksum. Three models predict the next id: order 2 and order 1 name the id that last followed
+the same two or one ids (hashed contexts), with a confidence; order 0 is the distribution of the block's last ``HISTORY``
+ids, taken anew at each of ``RENEWED``, added to ``PRIOR`` slots that the head deals to ids by their counts in the segment.
+Their shares are mixed by adaptive weights, one pair for each state of the two confidences, which learn from every id, and
+the mixed distribution drives one arithmetic coding step. An id that order 0 gives nothing is escaped and sent as its
+number in the segment's alphabet.
+
+All blocks of a segment (or, with a large alphabet, groups of them) are coded in lockstep: a step handles one id of every
+block with array operations.
+
+Segment: magic "MXC2", block size, ids, blocks, ids of the alphabet, bytes of its deflated table (alphabet as u32, slots as
+u16), that table; for each block its length in 16-bit words and the CRC-32 of its ids as little-endian u32 (u32 each); the
+CRC-32 of all that (u32); then the blocks' words.
 """
 
 from __future__ import annotations
@@ -19,11 +23,14 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
-MAGIC = b"MXC1"
-UNIT = 12  # order 0's ids share 2^UNIT units, whatever the number of slots
-SNAPSHOTS = tuple((at, min(at, 1024)) for at in (16, 32, 64, 128, 256, 512, 1024, 1536))  # when, of how many ids
-C1, C2 = 512, 1024  # contexts of order 1 and 2
+BLOCK = 4096
+MAGIC = b"MXC2"
+UNIT = 13  # order 0's ids share 2^UNIT units, two a slot at least
+PRIOR, HISTORY = 2048, 2048  # slots
+RENEWED = (128, 256, 512, 1024, 1536, 2048, 3072)  # ids of a block after which order 0 is taken anew
+C1, C2 = 1024, 2048  # contexts of order 1 and 2
+ESCAPE = 5  # of the share besides order 1 and 2, 2^-ESCAPE is for ids that order 0 gives nothing
+PLACES = 1 << 22  # of the table (block, id) of a group of blocks
 MASK, TOP, BOTTOM = (1 << 48) - 1, 1 << 32, 1 << 24
 SCALE = 1 << 16
 CAP1, CAP2, FLOOR = 16384, 40960, 96  # of SCALE for each id prediction; the rest is order 0's at least
@@ -41,7 +48,6 @@ class Model:
         self.w1, self.w2 = np.full(lanes * 32, 2048, I), np.full(lanes * 32, 2048, I)
         self.o1, self.o2, self.ow = lane * C1, lane * C2, lane * 32
         self.i1, self.i2, self.before = self.o1, self.o2, np.zeros(lanes, I)
-        self.learns = True
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For the first ``n`` lanes: order 2's and order 1's ids and their shares of SCALE."""
@@ -59,9 +65,8 @@ class Model:
         return self.g2, self.g1, self.f2, self.f1
 
     def update(self, n: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """``hit1`` without the hits of order 2. The weights learn from every second id."""
-        self.learns = not self.learns  # the coder of the other side does the same
-        for w, f, hit, cap in () if self.learns else ((self.w2, self.f2, hit2, CAP2), (self.w1, self.f1, hit1, CAP1)):
+        """``hit1`` without the hits of order 2."""
+        for w, f, hit, cap in ((self.w2, self.f2, hit2, CAP2), (self.w1, self.f1, hit1, CAP1)):
             step = hit * (cap - FLOOR)
             step += FLOOR
             step -= f
@@ -90,61 +95,45 @@ class Model:
         self.i1 = a
 
 
-class Snapshot:
-    """Order 0: the ids of a lane so far (a power of two of them), sorted; a slot is a place in that list."""
-
-    def __init__(self, history: np.ndarray) -> None:
-        m, lanes = history.shape
-        self.m, self.shift = m, UNIT - max(m - 1, 0).bit_length()
-        if not m:
-            return
-        self.rows = np.sort(history.T, axis=1)
-        new = np.ones(self.rows.shape, bool)
-        new[:, 1:] = self.rows[:, 1:] != self.rows[:, :-1]
-        flat = np.flatnonzero(new)
-        self.count = np.diff(np.r_[flat, new.size])
-        self.first = flat % m
-        self.keys = (flat // m << 32) | self.rows.ravel()[flat]
-
-    def index(self, number: np.ndarray | None, kinds: int) -> None:
-        """Prepare ``find``. ``number``: ids to 0..kinds, for a table of all of them; None: by binary search."""
-        self.number, self.kinds = number, kinds
-        if not self.m:
-            return
-        self.first <<= self.shift
-        self.end = self.first + (self.count << self.shift)
-        if number is not None:
-            self.table = np.full(len(self.rows) * kinds, 1 << UNIT + 13, np.int32)  # first unit and end unit in one number
-            self.table[(self.keys >> 32) * kinds + number[self.keys & 0xFFFFFFFF]] = self.first << 13 | self.end
-
-    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For ids (steps, lanes): first unit and end unit, 2^UNIT and 0 where the id is not there."""
-        lane = np.arange(x.shape[1], dtype=I)
-        if not self.m:
-            return np.full(x.shape, 1 << UNIT), np.zeros(x.shape, I)
-        if self.number is not None:
-            found = self.table.take(self.number[x] + lane * self.kinds).astype(I)
-            return found >> 13, found & 8191
-        key = ((lane << 32) | x).ravel()
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        there = self.keys[at] == key
-        return np.where(there, self.first[at], 1 << UNIT).reshape(x.shape), np.where(there, self.end[at], 0).reshape(x.shape)
-
-    def spread(self) -> np.ndarray:
-        """For each lane and slot, in one number: id, first unit and end unit."""
-        first = self.first << self.shift
-        end = (self.first + self.count) << self.shift
-        return np.repeat((self.keys & 0xFFFFFFFF) << 26 | first << 13 | end, self.count)
-
-
-def _division(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+class Order0:
+    """The slots of each id (by number) in each block: the prior's and those of the block's last ids (steps, lanes)."""
+
+    def __init__(self, prior: np.ndarray, history: np.ndarray) -> None:
+        kinds, lanes = len(prior), history.shape[1]
+        self.m, self.kinds = int(prior.sum()) + len(history), kinds
+        self.base = np.arange(lanes, dtype=I) * (kinds + 1)
+        count = np.bincount((history + np.arange(lanes, dtype=I) * kinds).ravel(), minlength=lanes * kinds).reshape(lanes, kinds)
+        count += prior
+        edge = np.zeros((lanes, kinds + 1), np.int32)  # the first slot of each id, and the end
+        np.cumsum(count, axis=1, out=edge[:, 1:])
+        self.edge, self.count = edge.ravel(), count.ravel()
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For numbers (..., lanes): first unit and end unit, 2^UNIT and 0 where the id has no slot; and where."""
+        at = x + self.base[: x.shape[-1]]
+        first = self.edge.take(at)
+        at += 1
+        end = self.edge.take(at)
+        none = first == end
+        first = _division(first << UNIT, self.m)
+        end = _division(end << UNIT, self.m)
+        first[none], end[none] = 1 << UNIT, 0
+        return first, end, none
+
+    def slots(self) -> np.ndarray:
+        """The number of the id at each slot, block after block."""
+        lanes = len(self.base)
+        return np.repeat(np.broadcast_to(np.arange(self.kinds, dtype=np.int32), (lanes, self.kinds)).ravel(), self.count)
+
+
+def _division(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     """Floors of a / b; exact in doubles where a < 2^48, b < 2^32 and the quotient is below 2^17."""
     return (a / b).astype(I)
 
 
 def _interval(a: np.ndarray, end: np.ndarray, escape: np.ndarray, f2: np.ndarray, f1: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The id's part of SCALE: (order 2's id, order 1's id, order 0's ids, escape)."""
-    few = rest >> 4
+    few = rest >> ESCAPE
     ids = rest - few
     start = a * ids
     start >>= UNIT
@@ -281,40 +270,48 @@ def _blocks(n: int) -> tuple[int, int]:
     return lanes, n - (lanes - 1) * BLOCK
 
 
-def _stages(steps: int) -> list[tuple[int, int, int]]:
-    """(begin, end, ids of the snapshot) of the stretches between snapshots."""
-    cuts = [(0, 0), *[c for c in SNAPSHOTS if c[0] < steps]]
-    return [(at, end, m) for (at, m), end in zip(cuts, [*[c for c, _ in cuts[1:]], steps], strict=True)]
+def _stages(steps: int) -> list[tuple[int, int]]:
+    """(begin, end) of the stretches between renewals of order 0."""
+    cuts = [0, *[c for c in RENEWED if c < steps]]
+    return list(zip(cuts, [*cuts[1:], steps], strict=True))
 
 
-def _alphabet(grid: np.ndarray, lanes: int, most: int = 1 << 24) -> tuple[np.ndarray | None, int]:
-    """A numbering of the ids that occur, if a table of them for every lane has at most ``most`` places."""
-    if not grid.size or int(grid.max()) >= 1 << 20:
-        return None, 0
-    there = np.bincount(grid.ravel()) > 0
-    kinds = int(there.sum())
-    return (np.cumsum(there) - 1, kinds) if kinds * lanes <= most else (None, 0)
+def _prior(numbers: np.ndarray, kinds: int) -> np.ndarray:
+    """``PRIOR`` slots dealt by counts: whole parts first, then the largest remainders."""
+    share = np.bincount(numbers, minlength=kinds).astype(I) * PRIOR
+    slots, rest = share // max(len(numbers), 1), share % max(len(numbers), 1)
+    slots[np.argsort(-rest, kind="stable")[: PRIOR - int(slots.sum())]] += 1
+    return slots.astype(np.int32)
 
 
-def encode(ids: np.ndarray) -> bytes:
-    """A segment of ids below 2^28."""
-    n = len(ids)
-    lanes, last = _blocks(n)
-    steps = BLOCK if lanes > 1 else last
-    grid = np.zeros(lanes * BLOCK, np.int32)
-    grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK)[:, :steps].T)  # step by step
-    model, coder = Model(lanes), Encoder(lanes)
-    wide = n > 0 and int(ids.max()) > 0xFFFF
-    number, kinds = _alphabet(grid, lanes)
-    for begin, end, of in _stages(steps):
-        snap = Snapshot(grid[begin - of : begin])
-        snap.index(number, kinds)
+def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur, ascending, and each id's number among them."""
+    if not len(ids) or int(ids.max()) >= 1 << 22:
+        return np.unique(ids, return_inverse=True)
+    there = np.bincount(ids) > 0
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[ids]
+
+
+def _groups(lanes: int, kinds: int) -> list[tuple[int, int]]:
+    size = max(1, PLACES // max(kinds, 1))
+    return [(i, min(i + size, lanes)) for i in range(0, lanes, size)]
+
+
+def _digits(kinds: int) -> list[tuple[int, int]]:
+    """How an escaped number is sent: (shift, values) of each digit, the high one first."""
+    return [(0, kinds)] if kinds <= 1 << 12 else [(8, -(-kinds >> 8)), (0, 256)]
+
+
+def _encode_lanes(grid: np.ndarray, last: int, prior: np.ndarray) -> list[bytes]:
+    """The streams of blocks side by side: numbers (steps, lanes), the last block ending at ``last``."""
+    steps, lanes = grid.shape
+    model, coder, digits = Model(lanes), Encoder(lanes), _digits(len(prior))
+    for begin, end in _stages(steps if lanes > 1 else last):
+        order0 = Order0(prior, grid[max(0, begin - HISTORY) : begin])
         for t in range(begin, end):
             k = (t - begin) % 64
             if not k:
-                starts, ends = snap.find(grid[t : min(t + 64, end)])
-                unseen = ends == 0
+                starts, ends, unseen = order0.find(grid[t : min(t + 64, end)])
             m = lanes if t < last else lanes - 1
             x, escape = grid[t, :m].astype(I), unseen[k, :m]
             g2, g1, f2, f1 = model.predict(m)
@@ -324,14 +321,29 @@ def encode(ids: np.ndarray) -> bytes:
             coder.put(slice(0, m), start, size)
             raw = np.flatnonzero(escape & ~hit2 & ~hit1)
             if len(raw):
-                if wide:
-                    coder.put(raw, x[raw] >> 16, np.ones(len(raw), I))
-                coder.put(raw, x[raw] & 0xFFFF, np.ones(len(raw), I))
+                for shift, values in digits:
+                    part = SCALE // values
+                    coder.put(raw, (x[raw] >> shift & (255 if values == 256 and not shift else -1)) * part, np.full(len(raw), part))
             model.update(m, x, hit2, hit1)
-    streams = coder.finish()
+    return coder.finish()
+
+
+def encode(ids: np.ndarray) -> bytes:
+    """A segment of ids below 2^28, of fewer than 2^24 kinds."""
+    n = len(ids)
+    lanes, last = _blocks(n)
+    steps = BLOCK if lanes > 1 else last
+    alphabet, numbers = _alphabet(ids)
+    prior = _prior(numbers, len(alphabet))
+    grid = np.zeros(lanes * BLOCK, np.int32)
+    grid[:n] = numbers
+    grid, streams = grid.reshape(lanes, BLOCK), []
+    for a, b in _groups(lanes, len(alphabet)):
+        streams += _encode_lanes(np.ascontiguousarray(grid[a:b, :steps].T), last if b == lanes else steps, prior)
     flat = ids.astype("<u4")
+    about = zlib.compress(alphabet.astype("<u4").tobytes() + prior.astype("<u2").tobytes())
     table = b"".join(struct.pack("<II", len(s) // 2, zlib.crc32(flat[i * BLOCK : (i + 1) * BLOCK].tobytes())) for i, s in enumerate(streams))
-    head = MAGIC + struct.pack("<IIII", BLOCK, n, lanes, wide) + table
+    head = MAGIC + struct.pack("<IIIII", BLOCK, n, lanes, len(alphabet), len(about)) + about + table
     return b"".join([head, struct.pack("<I", zlib.crc32(head)), *streams])
 
 
@@ -339,27 +351,14 @@ class Corrupt(ValueError):
     """A segment whose checksums don't hold."""
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The ids of a segment (u32); raises ``Corrupt`` where a checksum fails."""
-    if data[:4] != MAGIC or len(data) < 24:
-        raise Corrupt("not a segment")
-    block, n, lanes, wide = struct.unpack_from("<IIII", data, 4)
-    body = 20 + 8 * lanes
-    if block != BLOCK or len(data) < body + 4 or zlib.crc32(data[:body]) != struct.unpack_from("<I", data, body)[0]:
-        raise Corrupt("header")
-    table = np.frombuffer(data, "<u4", 2 * lanes, 20).reshape(lanes, 2)
-    ends = np.cumsum(table[:, 0].astype(I)) * 2 + body + 4
-    if ends[-1] != len(data):
-        raise Corrupt("length")
-    coder = Decoder([np.frombuffer(data, "<u2", int(k), int(e - 2 * k)) for k, e in zip(table[:, 0].astype(I), ends, strict=True)])
-    _, last = _blocks(n)
-    steps = BLOCK if lanes > 1 else last
-    grid = np.zeros((steps, lanes), np.int32)
+def _decode_lanes(streams: list[np.ndarray], steps: int, last: int, prior: np.ndarray) -> np.ndarray:
+    """The numbers (steps, lanes) of blocks side by side."""
+    lanes, kinds = len(streams), len(prior)
+    coder, grid, digits = Decoder(streams), np.zeros((steps, lanes), np.int32), _digits(kinds)
     model, lane = Model(lanes), np.arange(lanes, dtype=I)
-    for begin, end, of in _stages(steps):
-        snap = Snapshot(grid[begin - of : begin])
-        if of:
-            slots, row = snap.spread(), lane * of
+    for begin, end in _stages(steps if lanes > 1 else last):
+        order0 = Order0(prior, grid[max(0, begin - HISTORY) : begin])
+        slots, row = order0.slots(), lane * order0.m
         for t in range(begin, end):
             m = lanes if t < last else lanes - 1
             every = slice(0, m)
@@ -369,43 +368,62 @@ def decode(data: bytes) -> np.ndarray:
             hit2 = v < f2
             hit1 = (v < both) & ~hit2
             rest = SCALE - both
-            ids0 = rest - (rest >> 4)
+            ids0 = rest - (rest >> ESCAPE)
             v -= both
             escape = v >= ids0
-            if of:
-                v += 1
-                v <<= UNIT
-                v -= 1
-                slot = _division(v, ids0)
-                slot >>= snap.shift
-                np.clip(slot, 0, of - 1, out=slot)
-                slot += row[:m]
-                x = slots.take(slot)
-                b = x & 8191
-                a = x >> 13
-                a &= 8191
-                x >>= 26
-                np.copyto(a, 1 << UNIT, where=escape)
-            else:
-                escape = ~(hit2 | hit1)
-                x, a, b = np.zeros(m, I), np.full(m, 1 << UNIT), np.zeros(m, I)
+            # the unit, then the slot that holds it
+            v += 1
+            v <<= UNIT
+            v -= 1
+            unit = _division(v, ids0)
+            unit += 1
+            unit *= order0.m
+            unit -= 1
+            unit >>= UNIT
+            np.clip(unit, 0, order0.m - 1, out=unit)
+            unit += row[:m]
+            x = slots.take(unit).astype(I)
+            a, b, _ = order0.find(x)
+            a[escape] = 1 << UNIT
             start, size = _interval(a, b, escape, f2, f1, hit2, hit1, rest)
             coder.take(every, start, size)
             np.copyto(x, g1, where=hit1)
             np.copyto(x, g2, where=hit2)
+            np.minimum(x, kinds - 1, out=x)  # a damaged stream may name an id that isn't
             raw = np.flatnonzero(escape & ~hit2 & ~hit1)
             if len(raw):
-                high = 0
-                if wide:
-                    high = coder.value(raw)
-                    coder.take(raw, high.copy(), np.ones(len(raw), I))
-                low = coder.value(raw)
-                coder.take(raw, low.copy(), np.ones(len(raw), I))
-                x[raw] = (high << 16) | low
+                number = np.zeros(len(raw), I)
+                for shift, values in digits:
+                    part = SCALE // values
+                    digit = np.minimum(coder.value(raw) // part, values - 1)
+                    coder.take(raw, digit * part, np.full(len(raw), part))
+                    number |= digit << shift
+                x[raw] = np.minimum(number, kinds - 1)
             grid[t, :m] = x
             model.update(m, x, hit2, hit1)
+    return grid
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The ids of a segment (u32); raises ``Corrupt`` where a checksum fails."""
+    if data[:4] != MAGIC or len(data) < 28:
+        raise Corrupt("not a segment")
+    block, n, lanes, kinds, about = struct.unpack_from("<IIIII", data, 4)
+    body = 24 + about + 8 * lanes
+    if block != BLOCK or len(data) < body + 4 or zlib.crc32(data[:body]) != struct.unpack_from("<I", data, body)[0]:
+        raise Corrupt("header")
+    known = zlib.decompress(data[24 : 24 + about])
+    alphabet, prior = np.frombuffer(known, "<u4", kinds), np.frombuffer(known, "<u2", kinds, 4 * kinds).astype(np.int32)
+    table = np.frombuffer(data, "<u4", 2 * lanes, 24 + about).reshape(lanes, 2)
+    ends = np.cumsum(table[:, 0].astype(I)) * 2 + body + 4
+    if ends[-1] != len(data):
+        raise Corrupt("length")
+    streams = [np.frombuffer(data, "<u2", int(k), int(e - 2 * k)) for k, e in zip(table[:, 0].astype(I), ends, strict=True)]
+    _, last = _blocks(n)
+    steps = BLOCK if lanes > 1 else last
     ids = np.zeros((lanes, BLOCK), np.uint32)
-    ids[:, :steps] = grid.T
+    for a, b in _groups(lanes, kinds) if n else ():
+        ids[a:b, :steps] = alphabet[_decode_lanes(streams[a:b], steps, last if b == lanes else steps, prior).T]
     ids = ids.ravel()[:n].astype("<u4")
     for i in range(lanes):
         if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].tobytes()) != int(table[i, 1]):

@@ -25,25 +25,16 @@ from pyspark.sql import functions as F
 
 from millrace.llm import mixcoder
 from millrace.llm.worker import release, trimmed
-from millrace.operators.shared import shared_dir
+from millrace.operators.shared import register, shared_dir
 
-SEGMENT = 3 << 20  # ids after which a segment is closed
-_MEMORY = 150_000  # words whose ids a worker remembers
+SEGMENT = 4 << 20  # ids after which a segment is closed
+_MEMORY = 400_000  # words whose ids a worker remembers
+TOGETHER = 2000  # new words encoded as one text
 _BLANKS = re.compile(r" (?=\s)|\s \Z|^ ")
 _CUT = re.compile(r"(?= \S)")
 _FIRST = " "  # marks a word that has no space before it; others are kept without theirs and never begin with white space
 
 
-_PARTS = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]+)?(\n)?([A-Za-zÀ-ÖØ-öø-ÿ]+)?([.,]+)?")
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letter by which a byte-level tokenizer writes each byte: printable ones as they are, the others from U+0100."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = (chr(256 + i) for i in range(256))
-    return {b: chr(b) if b in plain else next(others) for b in range(256)}
-
-
 class _Memory(dict):
     """Word to number; a word not seen before gets the next number and is noted in ``new``."""
 
@@ -61,9 +52,9 @@ class WordEncoder:
 
     A byte-level tokenizer splits a text at white space before it merges anything: a space before a character that isn't
     white space always begins a new piece. So a text cut there has the ids of its pieces on end, and words that come
-    again are not encoded again. A new word that consists of letters, full stops or commas and single line feeds splits
-    further into pieces that go to the library's model directly; any other is encoded as a small text. Tokenizers of
-    other kinds encode whole texts.
+    again are not encoded again. New words that begin with a space are encoded on end, many as one text, and the ids told
+    apart by the bytes they stand for; where those don't end with the words (added tokens may reach over white space), and
+    for words that begin a text, each is encoded as a small text. Tokenizers of other kinds encode whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -73,7 +64,13 @@ class WordEncoder:
         parts = json.loads(self.tokenizer.to_str())
         split = parts.get("pre_tokenizer") or {}
         self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not parts.get("normalizer")
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.bytes = np.zeros(0, np.int64)
+        if self.by_word:
+            added = {str(t) for t in (a["content"] for a in parts.get("added_tokens") or ())}
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+            for token, i in vocabulary.items():  # a letter stands for a byte
+                self.bytes[i] = len(token.encode()) if token in added else len(token)
         self.forget()
 
     def forget(self) -> None:
@@ -112,34 +109,40 @@ class WordEncoder:
         bounds = np.r_[0, ends][np.cumsum(np.r_[0, counts])]
         return self.pool[place], np.diff(bounds)
 
+    def _encode(self, texts: list[str]) -> list:
+        return getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)(texts, add_special_tokens=False)
+
     def _learn(self, words: list[str]) -> None:
-        """Append the ids of ``words``, which have the last numbers."""
-        got: list[list[int]] = []
-        others: list[tuple[int, str]] = []
-        tokenize, letters = self.model.tokenize, self.letters
-        for word in words:
-            word = word[len(_FIRST) :] if word.startswith(_FIRST) else " " + word
-            if parts := _PARTS.fullmatch(word):
-                got.append([t.id for piece in parts.groups() if piece for t in tokenize(piece.encode().decode("latin-1").translate(letters))])
-            else:
-                others.append((len(got), word))
-                got.append([])
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for i in range(0, len(others), 20_000):
-            some = others[i : i + 20_000]
-            for (k, _), e in zip(some, encode([w for _, w in some], add_special_tokens=False), strict=True):
-                got[k] = e.ids
-        sizes = np.array([len(x) for x in got], np.int32)
-        flat = np.array([t for x in got for t in x], np.int32)
+        """Note the ids of ``words``, which have the last numbers."""
         n = len(self.known) - len(words)
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while len(self.known) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.start[n : n + len(got)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(got)] = sizes
-        self.used += len(flat)
+        apart = [i for i, w in enumerate(words) if w.startswith(_FIRST)]
+        after = [i for i, w in enumerate(words) if not w.startswith(_FIRST)]
+        for at in range(0, len(after), TOGETHER):
+            some = after[at : at + TOGETHER]
+            text = " " + " ".join([words[i] for i in some])
+            ids = np.array(self._encode([text])[0].ids, np.int32)
+            size = np.fromiter((len(words[i].encode()) + 1 for i in some), np.int64, len(some)) if not text.isascii() else np.fromiter((len(words[i]) + 1 for i in some), np.int64, len(some))
+            ends, reach = np.cumsum(size), np.cumsum(self.bytes[ids])
+            cut = np.searchsorted(reach, ends) + 1
+            if not len(reach) or reach[-1] != ends[-1] or not np.array_equal(reach[cut - 1], ends):
+                apart += some
+                continue
+            self._keep(n + np.array(some), ids, cut)
+        for at in range(0, len(apart), 20_000):
+            some = apart[at : at + 20_000]
+            got = [e.ids for e in self._encode([words[i][len(_FIRST) :] if words[i].startswith(_FIRST) else " " + words[i] for i in some])]
+            self._keep(n + np.array(some), np.array([t for x in got for t in x], np.int32), np.cumsum([len(x) for x in got]))
+
+    def _keep(self, numbers: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
+        """``ids`` of the words with these numbers on end, up to ``ends``."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        first = np.r_[0, ends[:-1]]
+        self.start[numbers], self.size[numbers] = self.used + first, ends - first
+        self.used += len(ids)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -154,19 +157,22 @@ def encoder_of(path: str) -> WordEncoder:
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = 2, segment: int = SEGMENT, chunk: int = 1 << 20) -> str:
-    """Write every row of ``docs`` in ascending order of ``key`` (NULL first, rows of one key by text) and return the
-    folder.
+    """Write every row of ``docs`` in ascending order of ``key`` (NULL first, rows of one key by a hash of their text) and
+    return the folder. Without ``path`` it is one in the shared folder that goes with the session's other tables.
 
     ``tokenizer``: a file of the tokenizers library, at the same place on every machine. NULL texts are empty; every
     document gets ``end_id``. Other columns are ignored. An empty table gives a table without segments. A document is
     held whole in memory, as text and as ids; segments hold whole documents.
     """
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/millrace/tokens-{uuid.uuid4().hex}"
+    if not path:
+        path = f"{shared_dir(spark)}/millrace/tokens-{uuid.uuid4().hex}"
+        register(spark, path)
     kind = docs.schema[key].dataType
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    ordered = rows.repartitionByRange(parts, "_id").sortWithinPartitions("_id", "_text")
+    rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    # the hash splits a key that many rows repeat
+    ordered = rows.repartitionByRange(parts, "_id", "_hash").sortWithinPartitions("_id", "_hash", "_text").select("_id", "_text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = encoder_of(tokenizer), TaskContext.get().partitionId()

@@ -31,11 +31,28 @@ def test_round_trip_of_blocks(n, top):
         assert len(data) < n
 
 
-def test_large_alphabets_use_the_search(monkeypatch):
-    a = np.random.default_rng(1).integers(0, 900, 9000)
+@pytest.mark.parametrize("kinds", [900, 5000, 70000])
+def test_blocks_in_groups(monkeypatch, kinds):
+    """A block's stream doesn't depend on the blocks coded beside it; ids beyond the prior's slots are escaped."""
+    rng = np.random.default_rng(1)
+    a = np.r_[np.arange(kinds), rng.integers(0, kinds, 3 * mixcoder.BLOCK + 77)]
     want = mixcoder.encode(a)
-    monkeypatch.setattr(mixcoder, "_alphabet", lambda grid, lanes: (None, 0))
-    assert mixcoder.encode(a) == want
+    monkeypatch.setattr(mixcoder, "PLACES", 2 * kinds)
+    assert mixcoder.encode(a) == want and np.array_equal(mixcoder.decode(want), a)
+
+
+def test_smaller_than_deflate():
+    """The documents' ids, against deflated blocks of the same ids and against one deflated stream."""
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    a = tokens.WordEncoder(PATH).ids(texts)[0]
+    raw, step = a.astype("<u2"), mixcoder.BLOCK
+    size = len(mixcoder.encode(a))
+    stream = len(zlib.compress(raw.tobytes(), 6))
+    blocks = sum(len(zlib.compress(raw[i : i + step].tobytes(), 6)) for i in range(0, len(raw), step))
+    print(f"bits an id: {8 * size / len(a):.2f}, deflate {8 * stream / len(a):.2f} as a stream, {8 * blocks / len(a):.2f} in blocks")
+    assert size < stream and size < blocks
 
 
 def test_damage_is_seen():
@@ -66,6 +83,12 @@ def test_words_have_the_ids_of_whole_texts():
     assert not tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json")).by_word
 
 
+def test_new_words_in_small_parts(monkeypatch):
+    monkeypatch.setattr(tokens, "TOGETHER", 3)
+    monkeypatch.setattr(tokens, "_MEMORY", 20)
+    test_words_have_the_ids_of_whole_texts()
+
+
 @pytest.mark.parametrize("segment", [tokens.SEGMENT, 300])
 def test_table_round_trip(spark, segment):
     rnd = random.Random(2)
@@ -76,7 +99,9 @@ def test_table_round_trip(spark, segment):
     rows = tokens.documents_of(tokens.read_tokens(spark, path)).collect()
     rows.sort(key=lambda r: r.start)
     model = Tokenizer.from_file(PATH)
-    docs.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    # rows of one key stand by a hash of their text
+    hashes = {r.text: r.h for r in frame.selectExpr("text", "xxhash64(coalesce(text, '')) as h").collect()}
+    docs.sort(key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]], x[1] or ""))
     at = 0
     assert len(rows) == len(docs)
     for (d, t), r in zip(docs, rows, strict=True):
