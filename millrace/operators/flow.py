@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.monoids import COUNT, PRODUCT, SUM, Monoid, resolve
-from millrace.operators.accumulate import Accumulator, accumulate
+from millrace.operators.accumulate import Accumulator, ExactProduct, accumulate
 from millrace.operators.materialize import materialize
-from millrace.operators.sequence import ordered_slice
+from millrace.operators.sequence import Bound, ordered_slice
 
 
 class EmptyFlowError(ValueError):
@@ -75,8 +75,9 @@ class Flow:
         gather = {"bag": F.collect_list, "set": F.collect_set}[mode]
         return Flow(self.df.groupBy(key.alias("key")).agg(F.sort_array(gather(value)).alias(name)), ("key",))
 
-    def slice(self, start: int, length: int) -> Flow:
-        """Rows number ``start`` to ``start + length - 1`` in ordinal order, as (slot, columns)."""
+    def slice(self, start: Bound, length: Bound) -> Flow:
+        """Rows number ``start`` to ``start + length - 1`` in ordinal order, as (slot, columns); bounds may be functions of
+        the number of rows."""
         return Flow(ordered_slice(self.df, self.ordinal, start, length), ("slot",))
 
     def ordered(self) -> Flow:
@@ -103,8 +104,14 @@ class Flow:
         return self.df.agg(SUM.over(value).alias(name))
 
     def product_df(self, value: Column, name: str = "value") -> DataFrame:
+        """As double; ``product_exact_df`` for integers beyond 2^53."""
         return self.df.agg(PRODUCT.over(value).alias(name))
 
+    def product_exact_df(self, value: Column, name: str = "value", wrap: bool = False) -> DataFrame:
+        """Of integers: decimal(38, 0), or with ``wrap`` a bigint in 64-bit two's complement."""
+        kind = "bigint" if wrap else "decimal(38,0)"
+        return accumulate(self.df.select(value.alias("_value")), ExactProduct(64 if wrap else None), ["_value"], f"`{name}` {kind}")
+
     def count_df(self, predicate: Column, name: str = "value") -> DataFrame:
         return self.df.agg(F.count_if(predicate).alias(name))
 

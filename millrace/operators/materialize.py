@@ -29,7 +29,10 @@ def materialize(df: DataFrame, mode: str, *, keys: Sequence[str] = (), ordinal:
         return df.orderBy(*ordinal)
     if not keys:
         raise ValueError(f"{mode} needs keys")
-    names = [f"o{i}" for i in range(len(ordinal))]
-    row = F.struct(*[F.col(c).alias(n) for c, n in zip(ordinal, names, strict=True)], F.struct(*df.columns).alias("row"))
-    pick = F.min(row) if mode == "map_first" else F.max(row)
-    return df.groupBy(*keys).agg(pick.alias("picked")).select(*[F.col(f"picked.row.`{c}`").alias(c) for c in df.columns])
+    # the key and the ordinal are not carried twice
+    carried = [c for c in df.columns if c not in keys and c not in ordinal]
+    fields = [*[F.col(c).alias(f"o{i}") for i, c in enumerate(ordinal)], *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)]]
+    pick = F.min if mode == "map_first" else F.max
+    picked = df.groupBy(*keys).agg(pick(F.struct(*fields)).alias("_picked"))
+    place = {c: F.col(f"_picked.o{i}") for i, c in enumerate(ordinal)} | {c: F.col(f"_picked.c{i}") for i, c in enumerate(carried)} | {k: F.col(f"`{k}`") for k in keys}
+    return picked.select(*[place[c].alias(c) for c in df.columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from millrace.operators.shared import settle
 
 
+Bound = int | Callable[[int], int]
+
+
 def number_rows(df: DataFrame, ordinal: Sequence[str], name: str = "slot") -> DataFrame:
     """Each row's 0-based position in ordinal order.
 
@@ -27,12 +30,28 @@ def number_rows(df: DataFrame, ordinal: Sequence[str], name: str = "slot") -> Da
     return out.select((F.col("_before") + F.col("_at")).alias(name), *df.columns)
 
 
-def ordered_slice(df: DataFrame, ordinal: Sequence[str], start: int, length: int) -> DataFrame:
-    """(slot, columns) of the rows ``start`` to ``start + length - 1``; out-of-range parts are empty."""
+def ordered_slice(df: DataFrame, ordinal: Sequence[str], start: Bound, length: Bound) -> DataFrame:
+    """(slot, columns) of the rows ``start`` to ``start + length - 1``; out-of-range parts are empty. Bounds may be
+    functions of the number of rows.
+
+    The sizes of the range blocks tell which of them the slice needs; only those are sorted and numbered.
+    """
     if not ordinal:
         raise ValueError("a slice needs an ordinal")
-    slot = F.col("slot")
-    return number_rows(df, ordinal).where((slot >= start) & (slot < start + max(0, length)))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = settle(df.repartitionByRange(parts, *ordinal).withColumn("_block", F.spark_partition_id()), "blocks")
+    sizes = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).orderBy("_block").collect()  # a row a partition
+    total = sum(r["n"] for r in sizes)
+    first, rows = (b(total) if callable(b) else b for b in (start, length))
+    until, at, before = first + max(0, rows), 0, {}
+    for r in sizes:
+        if at < until and at + r["n"] > first:
+            before[r["_block"]] = at
+        at += r["n"]
+    needed = blocks.where(F.col("_block").isin(list(before)))
+    at_block = F.coalesce(*[F.when(F.col("_block") == b, F.lit(n)) for b, n in before.items()], F.lit(0)).cast("bigint")
+    slot = at_block + F.row_number().over(Window.partitionBy("_block").orderBy(*ordinal)) - 1
+    return needed.select(slot.cast("bigint").alias("slot"), *df.columns).where((F.col("slot") >= first) & (F.col("slot") < until))
 
 
 def concat(left: DataFrame, right: DataFrame, idx: str = "idx") -> DataFrame:

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-def mandelbrot(spark: SparkSession, width: int, height: int, threshold: int, box: tuple[float, float, float, float] = (-2.0, -1.0, 1.0, 1.0)) -> DataFrame:
-    """(idx, iterations): steps of z*z + c until |z|^2 >= 4, at most ``threshold``; row-major pixels."""
+def mandelbrot(spark: SparkSession, width: int, height: int, threshold: int, bound: float = 2.0, box: tuple[float, float, float, float] = (-2.0, -1.0, 1.0, 1.0)) -> DataFrame:
+    """(idx, iterations): steps of z*z + c until |z|^2 >= ``bound``, at most ``threshold``; row-major pixels."""
     x0, y0, x1, y1 = box
 
     def escape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -21,7 +21,7 @@ def mandelbrot(spark: SparkSession, width: int, height: int, threshold: int, box
             zx, zy, n, live = np.zeros(len(idx)), np.zeros(len(idx)), np.zeros(len(idx), np.int64), np.arange(len(idx))
             for _ in range(threshold):
                 a, b = zx[live], zy[live]
-                live = live[a * a + b * b < 4.0]
+                live = live[a * a + b * b < bound]
                 if not len(live):
                     break
                 a, b = zx[live], zy[live]

@@ -116,7 +116,25 @@ def _(spark, d):
 
 @query("foreach_count", "select count(*) as n from lineitem where l_partkey % 7 = 3")
 def _(spark, d):
-    return lines(spark, d).count_df(c("l_partkey") % 7 == 3, "n")
+    """The side effect: an accumulator, to which each task adds its rows."""
+    met = spark.sparkContext.accumulator(0)
+    lines(spark, d).filter(c("l_partkey") % 7 == 3).map("l_partkey").foreach(lambda rows: met.add(sum(1 for _ in rows)))
+    return spark.range(1).select(F.lit(met.value).cast("bigint").alias("n"))
+
+
+@query("product_exact", "select cast(list_reduce(list(cast(n_nationkey + 1 as hugeint)), lambda a, x: a * x) as varchar) as value from nation")
+def _(spark, d):
+    exact = Flow(table(spark, d, "nation")).product_exact_df(c("n_nationkey") + 1)
+    return exact.select(c("value").cast("string").alias("value"))
+
+
+@query(
+    "product_wrapped",
+    """with p as (select list_reduce(list(cast(2 * l_linenumber + 1 as hugeint)), lambda a, x: (a * x) % 18446744073709551616) as v from lineitem)
+    select cast(if(v >= 9223372036854775808, v - 18446744073709551616, v) as bigint) as value from p""",
+)
+def _(spark, d):
+    return lines(spark, d).product_exact_df(2 * c("l_linenumber") + 1, wrap=True)
 
 
 @query("min_max", "select min(l_extendedprice) as low, max(l_extendedprice) as high from lineitem")
@@ -285,8 +303,7 @@ def _(spark, d):
 )
 def _(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey")
-    n = orders.count()
-    return Flow(orders, ["o_orderkey"]).slice(n // 7, n // 2).df
+    return Flow(orders, ["o_orderkey"]).slice(lambda n: n // 7, lambda n: n // 2).df
 
 
 @query("tree_set", "select cast(row_number() over (order by p_name) - 1 as bigint) as slot, p_name from (select distinct p_name from part)")
@@ -372,6 +389,34 @@ def _(spark, d):
     return lines(spark, d).accumulate(_Spread(), ["l_partkey"], "spread bigint", ["l_suppkey"])
 
 
+class _Balance:
+    """Exact total of decimals in Arrow batches; NULL where a group has none."""
+
+    def zero(self):
+        return None
+
+    def add_batch(self, state, columns):
+        import pyarrow.compute as pc
+
+        return self.merge(state, pc.sum(columns[0]).as_py())
+
+    def merge(self, left, right):
+        return right if left is None else left if right is None else left + right
+
+    def finish(self, state):
+        return (state,)
+
+
+@query(
+    "accumulate_decimal",
+    """select l_suppkey % 7 as key, sum(if(l_suppkey % 7 = 3, null, cast(l_quantity as decimal(12,2)))) as total from lineitem group by 1""",
+)
+def _(spark, d):
+    amount = F.when(c("l_suppkey") % 7 != 3, c("l_quantity").cast("decimal(12,2)"))
+    flow = Flow(table(spark, d, "lineitem").select((c("l_suppkey") % 7).alias("key"), amount.alias("amount")))
+    return flow.accumulate(_Balance(), ["amount"], "total decimal(38,2)", ["key"])
+
+
 # -- lists in a row
 
 
@@ -460,16 +505,31 @@ def _(spark, d):
     "mandelbrot",
     """with recursive px as (select range as idx, -2.0::double + (range % 60) * (3.0::double / 60) as cx, -1.0::double + (range // 60) * (2.0::double / 40) as cy from range(2400)),
     z as (select idx, cx, cy, 0.0::double as x, 0.0::double as y, cast(0 as bigint) as n from px
-    union all select idx, cx, cy, x * x - y * y + cx, 2.0 * x * y + cy, n + 1 from z where x * x + y * y < 4.0 and n < 60)
+    union all select idx, cx, cy, x * x - y * y + cx, 2.0 * x * y + cy, n + 1 from z where x * x + y * y < 2.0 and n < 60)
     select idx, max(n) as iterations from z group by 1""",
 )
 def _(spark, d):
     return images.mandelbrot(spark, 60, 40, 60)
 
 
-@query("ray_trace")
+@query(
+    "ray_trace",
+    """with s as (select * from (values (0, 0.0::double, 0.0::double, 4.0::double, 1.0::double), (1, 1.5, 0.5, 5.0, 1.0), (2, -1.5, -0.5, 3.0, 0.5)) as t(k, cx, cy, cz, r)),
+    p as (select range as idx, (range % 80 + 0.5::double) / 80 * 2 - 1 as x, 1 - (range // 80 + 0.5::double) / 60 * 2 as y from range(4800)),
+    v as (select idx, x / sqrt(x * x + y * y + 1) as x, y / sqrt(x * x + y * y + 1) as y, 1 / sqrt(x * x + y * y + 1) as z from p),
+    h as (select idx, k, x, y, z, cx * x + cy * y + cz * z as b, r * r - (cx * cx + cy * cy + cz * cz - (cx * x + cy * y + cz * z) ** 2) as inside from v, s),
+    n as (select idx, x, y, z, min(b - sqrt(inside)) as far, arg_min(k, b - sqrt(inside)) as k from h where inside > 0 and b - sqrt(inside) > 1e-6 group by all),
+    q as (select idx, n.k, x * far as x, y * far as y, z * far as z, (x * far - cx) / r as nx, (y * far - cy) / r as ny, (z * far - cz) / r as nz from n join s on s.k = n.k),
+    l as (select *, sqrt((5 - x) ** 2 + (5 - y) ** 2 + (-5 - z) ** 2) as away from q),
+    m as (select idx, x, y, z, nx, ny, nz, away, (5 - x) / away as lx, (5 - y) / away as ly, (-5 - z) / away as lz from l),
+    o as (select idx, away, (cx - x) * lx + (cy - y) * ly + (cz - z) * lz as b, r * r - ((cx - x) ** 2 + (cy - y) ** 2 + (cz - z) ** 2 - ((cx - x) * lx + (cy - y) * ly + (cz - z) * lz) ** 2) as inside from m, s),
+    dark as (select distinct idx from o where inside > 0 and b - sqrt(inside) > 1e-6 and b - sqrt(inside) < away)
+    select p.idx, round(case when m.idx is null then 0 when dark.idx is not null then 0.1 else 0.1 + 0.9 * greatest(nx * lx + ny * ly + nz * lz, 0) end, 9) as shade
+    from p left join m using (idx) left join dark using (idx)""",
+)
 def _(spark, d):
-    return images.ray_trace(spark, 80, 60, [(0, 0, 4, 1), (1.5, 0.5, 5, 1), (-1.5, -0.5, 3, 0.5)])
+    seen = images.ray_trace(spark, 80, 60, [(0, 0, 4, 1), (1.5, 0.5, 5, 1), (-1.5, -0.5, 3, 0.5)])
+    return seen.select("idx", F.round("shade", 9).alias("shade"))
 
 
 def _points(spark, d) -> DataFrame:
@@ -477,14 +537,44 @@ def _points(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select(c("vec_id").alias("id"), *[e[i].cast("double").alias(n) for i, n in enumerate(("x", "y", "vx", "vy"))], F.lit(1.0).alias("mass"))
 
 
-@query("barnes_hut_step")
+def _rounded(moved: DataFrame) -> DataFrame:
+    return moved.select("id", *[F.round(n, 8).alias(n) for n in ("x", "y", "vx", "vy")])
+
+
+_POINTS = "p as (select vec_id as id, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y, cast(embedding[3] as double) as vx, cast(embedding[4] as double) as vy from embeddings)"
+
+
+@query(
+    "barnes_hut_step",
+    f"""with recursive {_POINTS}, b as (select min(x) as lx, min(y) as ly, greatest(max(x) - min(x), max(y) - min(y)) as side, count(*) as n from p),
+    k as (select *, (select min(range) from range(1, 20) where 8 * 4 ** range >= n)::bigint as deep from b),
+    c as (select p.*, side, deep, least(floor((x - lx) / side * 2 ** deep), 2 ** deep - 1)::bigint as sx, least(floor((y - ly) / side * 2 ** deep), 2 ** deep - 1)::bigint as sy from p, k),
+    g as (select level, sx >> (deep - level) as cx, sy >> (deep - level) as cy, count(*) as n, sum(x) / count(*) as gx, sum(y) / count(*) as gy from c, range(1, 20) t(level) where level <= deep group by all),
+    w as (select c.id, c.x, c.y, c.sx, c.sy, side, deep, level, cx, cy, n, gx, gy from c join g on level = 1
+    union all select w.id, w.x, w.y, w.sx, w.sy, side, deep, g.level, g.cx, g.cy, g.n, g.gx, g.gy from w join g on g.level = w.level + 1 and g.cx >> 1 = w.cx and g.cy >> 1 = w.cy
+    where w.n > 1 and ((w.sx >> (deep - w.level) = w.cx and w.sy >> (deep - w.level) = w.cy) or (side / 2 ** w.level) ** 2 >= 0.25 * ((w.gx - w.x) ** 2 + (w.gy - w.y) ** 2))),
+    s as (select *, sx >> (deep - level) = cx and sy >> (deep - level) = cy as own from w),
+    a as (select id, gx - x as dx, gy - y as dy, n as mass from s where not own and (n = 1 or (side / 2 ** level) ** 2 < 0.25 * ((gx - x) ** 2 + (gy - y) ** 2))
+    union all select s.id, c.x - s.x, c.y - s.y, 1 from s join c on s.level = s.deep and s.cx = c.sx and s.cy = c.sy and s.id <> c.id
+    where s.n > 1 and (own or (s.side / 2 ** level) ** 2 >= 0.25 * ((gx - s.x) ** 2 + (gy - s.y) ** 2))),
+    f as (select id, sum(dx * mass / (dx * dx + dy * dy + 1) ** 1.5) as ax, sum(dy * mass / (dx * dx + dy * dy + 1) ** 1.5) as ay from a group by id)
+    select id, round(x + (vx + coalesce(ax, 0) * 0.1) * 0.1, 8) as x, round(y + (vy + coalesce(ay, 0) * 0.1) * 0.1, 8) as y,
+    round(vx + coalesce(ax, 0) * 0.1, 8) as vx, round(vy + coalesce(ay, 0) * 0.1, 8) as vy from p left join f using (id)""",
+)
 def _(spark, d):
-    return bodies.nbody_step(_points(spark, d))
+    return _rounded(bodies.nbody_step(_points(spark, d)))
 
 
-@query("flock_step")
+@query(
+    "flock_step",
+    f"""with {_POINTS}, b as (select min(x) as lx, max(x) as hx, min(y) as ly, max(y) as hy from p),
+    c as (select p.*, least(floor((x - lx) / (hx - lx) * 32), 31)::int as sx, least(floor((y - ly) / (hy - ly) * 32), 31)::int as sy from p, b),
+    m as (select u.id, avg(o.x) as x, avg(o.y) as y, avg(o.vx) as vx, avg(o.vy) as vy from c u join c o on abs(u.sx - o.sx) <= 1 and abs(u.sy - o.sy) <= 1 group by u.id),
+    v as (select c.id, c.x, c.y, c.vx + 0.1 * (m.vx - c.vx) + 0.05 * (m.x - c.x) as vx, c.vy + 0.1 * (m.vy - c.vy) + 0.05 * (m.y - c.y) as vy from c join m using (id))
+    select id, round(x + vx, 8) as x, round(y + vy, 8) as y, round(vx, 8) as vx, round(vy, 8) as vy from v""",
+)
 def _(spark, d):
-    return bodies.flock_step(_points(spark, d).drop("mass"))
+    return _rounded(bodies.flock_step(_points(spark, d).drop("mass")))
 
 
 @query(

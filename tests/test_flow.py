@@ -181,3 +181,41 @@ def test_fused_pipeline_is_one_stage(spark):
     seen = spark.sparkContext.accumulator(0)
     f.foreach(lambda rows: seen.add(sum(1 for _ in rows)))
     assert seen.value == f.size()
+
+
+def test_accumulator_results_may_be_null_or_decimal(spark):
+    from decimal import Decimal
+
+    from millrace.operators.accumulate import ExactProduct, accumulate
+
+    class Top:
+        def zero(self):
+            return None
+
+        def add(self, state, row):
+            return self.merge(state, row[0])
+
+        def merge(self, left, right):
+            return max((x for x in (left, right) if x is not None), default=None)
+
+        def finish(self, state):
+            return state, None if state is None else state * 2
+
+    rows = [("a", Decimal("1.50")), ("a", Decimal("-2.25")), ("b", None), (None, Decimal("7.00"))]
+    frame = spark.createDataFrame(rows, "k string, v decimal(10,2)").repartition(3)
+    got = {r.k: (r.top, r.twice) for r in accumulate(frame, Top(), ["v"], "top decimal(10,2), twice decimal(12,2)", ["k"]).collect()}
+    assert got == {"a": (Decimal("1.50"), Decimal("3.00")), "b": (None, None), None: (Decimal("7.00"), Decimal("14.00"))}
+    assert accumulate(frame.where("k = 'z'"), Top(), ["v"], "top decimal(10,2), twice decimal(12,2)").collect()[0].top is None
+    numbers = spark.createDataFrame([(k, v) for k in (1, 2) for v in (3, None, -(2**40) + 1, 2**33 + 5)], "k int, v bigint").repartition(4)
+    exact = 3 * (-(2**40) + 1) * (2**33 + 5)
+    assert {r.p for r in accumulate(numbers, ExactProduct(), ["v"], "p decimal(38,0)", ["k"]).collect()} == {Decimal(exact)}
+    wrapped = (exact * exact + 2**63) % 2**64 - 2**63
+    assert Flow(numbers).product_exact_df(F.col("v"), wrap=True).first()[0] == wrapped
+    assert Flow(numbers.where("k > 9")).product_exact_df(F.col("v")).first()[0] == 1
+
+
+def test_slice_bounds_of_the_size(spark):
+    flow = Flow(spark.range(1000).selectExpr("id * 7 % 1000 as v"), ["v"])
+    got = sorted(tuple(r) for r in flow.slice(lambda n: n // 4, lambda n: n // 2).df.collect())
+    assert got == [(i, i) for i in range(250, 750)]
+    assert flow.slice(1000, 5).df.count() == 0 and flow.slice(990, 50).df.count() == 10 and flow.slice(0, -1).df.count() == 0
