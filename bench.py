@@ -9,7 +9,8 @@ import time
 NAMES = (
     "reduce_sum", "map_reduce", "fold", "aggregate_length", "sum_pairs", "product_by_key", "count_even", "min_max", "min_custom_order", "find_first", "exists_gt", "forall_lt",
     "map_sqrt_int", "flat_map", "filter_mod3", "filter_cos", "group_map_aggregate", "group_by_bag", "group_by_set", "map_first", "map_last", "set_map", "copy_to_array_slice",
-    "accumulate_bounds", "accumulate_sectors", "list_fold_left", "pipeline_euler1", "pipeline_nested", "pagerank", "mandelbrot",
+    "accumulate_bounds", "accumulate_sectors", "accumulate_custom", "product_wrapped", "list_fold_left", "pipeline_euler1", "pipeline_nested", "pagerank", "mandelbrot",
+    "barnes_hut_step",
 )
 
 
