@@ -91,3 +91,59 @@ def test_mix_and_tokens(stages):
     for r in rows:
         assert r.start == at
         at += r.n_tokens
+
+
+NAMES = ("_copy", "copy", "_epochs", "_cut", "_of", "_k", "_g", "_r", "h", "s", "k", "score", "taken", "root", "component_id", "class_id", "_text", "_key", "spans", "items", "_id", "_class")
+
+
+def odd(spark, rows):
+    """Documents with columns whose names the stages use inside."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{n}` string" for n in NAMES)
+    return spark.createDataFrame([(d, t, None, s, None, *[f"{n} of {d}" for n in NAMES]) for d, t, s in rows], schema).repartition(3)
+
+
+def plain_text(seed):
+    import random
+
+    rnd = random.Random(seed)
+    syllables = "an be co du er fi go ha in jo ka lo mi no or pe ra si to un".split()
+    return ". ".join(" ".join("".join(rnd.choices(syllables, k=rnd.randrange(1, 4))) for _ in range(9)).capitalize() for _ in range(5)) + "."
+
+
+@pytest.mark.parametrize("number", range(4))
+def test_stages_on_odd_rows(spark, number):
+    """Each stage on NULLs in every column, empty and very long texts, ties, repeated rows and clashing names: all columns
+    come back as they were, rows of one NULL or repeated key are told apart, and an empty table stays empty."""
+    name, stage = corpus_pipeline.STAGES[number]
+    long = " ".join(plain_text(i) for i in range(100, 500))
+    rows = [(i, plain_text(i), "ab"[i % 2]) for i in range(12)]
+    rows += [(None, plain_text(50), None), (None, plain_text(51), "a"), (3, plain_text(52), "b"), (5, plain_text(5), "b"), (5, plain_text(5), "b"), (20, None, "a"), (21, "", "b"), (22, " \n", None), (None, None, None), (23, long, "a")]
+    docs = odd(spark, rows)
+    out = stage(spark, docs, DATA)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert all(r[n] == f"{n} of {r.doc_id}" for r in got for n in NAMES)
+    seen = [(r.doc_id, r.text) for r in got]
+    assert set(seen) <= {(d, t) for d, t, _ in rows}
+    if name in ("near_copies", "decontamination"):
+        want = [(d, t) for d, t, _ in rows]
+        if name == "near_copies":  # of the row that is there three times one stays
+            want.remove((5, plain_text(5)))
+            want.remove((5, plain_text(5)))
+        assert sorted(seen, key=str) == sorted(want, key=str)
+    if name == "mixing":
+        assert all(t and t.strip() for _, t in seen) and {None, 3, 5} <= {d for d, _ in seen}
+    assert stage(spark, docs.where("doc_id < -5"), DATA).collect() == []
+
+
+def test_tokens_of_odd_rows(spark):
+    rows = [(None, "null key", "a"), (None, None, None), (4, "twice", "a"), (4, "twice", "a"), (4, "other", "a"), (1, "", None), (2, "long " * 60_000, "b")]
+    got = sorted(corpus_pipeline.STAGES[4][1](spark, odd(spark, rows), DATA).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 1, 2, 4, 4, 4] and [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(7)]
+    assert corpus_pipeline.STAGES[4][1](spark, odd(spark, rows).where("doc_id < -5"), DATA).collect() == []
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
