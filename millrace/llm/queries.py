@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, exact_dedup, jaccard, line_dedup, mixing, quality, sharding, tokens, toxicity, warc
+from millrace.operators.shared import settle
 from millrace.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +29,7 @@ def capture_records(pages: DataFrame) -> DataFrame:
     the URL in several spellings, validators that change or are missing, headers. A hash of page and capture decides."""
     k, h = F.col("k"), F.col("h")
     digit = lambda at, base: F.pmod(F.shiftright(h, at), F.lit(base))
-    rows = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("md5"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    rows = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("md5")).select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
     rows = rows.withColumn("h", F.conv(F.substring(F.md5(F.concat_ws("-", "page_id", "k").cast("binary")), 1, 7), 16, 10).cast("bigint"))
     # captures overlap in time: the order of ts isn't that of record_id
     rows = rows.withColumn("ts", F.when(digit(0, 41) > 0, k * 10 + digit(3, 25)).cast("bigint"))
@@ -40,7 +41,9 @@ def capture_records(pages: DataFrame) -> DataFrame:
     spelt = spelt.when(digit(6, 4) == 2, F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#c"), k.cast("string"))).otherwise(F.col("url"))
     etag = F.when(digit(8, 5) > 0, F.concat("md5", F.lit("-"), version))
     pairs = {"content-type": F.concat(F.lit("text/html;v="), version), "date": F.col("ts").cast("string"), "etag": etag, "cache-control": F.when(digit(11, 2) > 0, F.concat(F.lit("max-age="), k.cast("string")))}
-    headers = F.map_filter(F.create_map(*[x for name, v in pairs.items() for x in (F.lit(name), v)]), lambda _, v: v.isNotNull())
+    # no higher-order function, which would take the projection out of code generation
+    none = F.create_map().cast("map<string,string>")
+    headers = F.map_concat(*[F.when(v.isNotNull(), F.create_map(F.lit(name), v)).otherwise(none) for name, v in pairs.items()])
     return rows.select(
         (F.col("page_id") * 8 + k).alias("record_id"), spelt.alias("url"), "ts", F.when(digit(13, 3) == 0, "response").otherwise("revisit").alias("kind"),
         etag.alias("etag"), F.when(digit(15, 3) > 0, version).alias("last_modified"), F.when(digit(17, 6) > 0, headers).alias("headers"),
@@ -48,8 +51,8 @@ def capture_records(pages: DataFrame) -> DataFrame:
 
 
 def op3_revisits(spark: SparkSession, d: str) -> DataFrame:
-    """Headers as JSON, sorted by name."""
-    found = warc.resolve_revisits(capture_records(table(spark, d, "pages")))
+    """Headers as JSON, sorted by name. The derived records are written first, as a table that the operator reads."""
+    found = warc.resolve_revisits(settle(capture_records(table(spark, d, "pages")), "captures"))
     headers = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("headers"))))
     return found.select("record_id", "response_id", "resolved", "checked", headers.alias("headers"))
 

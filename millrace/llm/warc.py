@@ -74,10 +74,12 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     spark = records.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = records.where(F.col("kind").isin("response", "revisit"))
-    rows = rows.select(canonical(F.col("url")).alias("u"), F.col("ts").alias("t"), F.col("record_id").alias("r"), (F.col("kind") == "response").alias("full"), F.col("etag").alias("e"), F.col("last_modified").alias("m"), F.coalesce("headers", F.create_map().cast(_EMPTY)).alias("h"))
+    fields = [F.col("record_id").alias("r"), (F.col("kind") == "response").alias("full"), F.col("etag").alias("e"), F.col("last_modified").alias("m"), F.coalesce("headers", F.create_map().cast(_EMPTY)).alias("h")]
     # at one (t, r) revisits stand before responses; all of the order is the exchange's too, so that a hot URL is split
     order = ["u", "t", "r", "full", "e", "m", "n"]
-    timed = rows.where("u is not null and t is not null").select("u", "t", "r", "full", "e", "m", F.size("h").alias("n"), "h")
+    # conditions on the columns as they come, so that none repeats the canonical form
+    timed = rows.where("url is not null and ts is not null").select(canonical(F.col("url")).alias("u"), F.col("ts").alias("t"), *fields)
+    timed = timed.select("u", "t", "r", "full", "e", "m", F.size("h").alias("n"), "h")
     kinds = {f.name: f.dataType.simpleString() for f in timed.schema.fields}
     ddl = ", ".join(f"{c} {k}" for c, k in kinds.items()) + f", part int, there boolean, xr {kinds['r']}, xe {kinds['e']}, xm {kinds['m']}, xh {_EMPTY}"
     carried = settle(timed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(trimmed(_carry), ddl), "carried")
@@ -93,7 +95,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     own = F.when(F.col("there"), F.struct(F.col("xr").alias("r"), F.col("xe").alias("e"), F.col("xm").alias("m"), F.col("xh").alias("h")))
     other = F.when(F.col("z").isNotNull(), F.struct("z.r", "z.e", "z.m", F.map_from_entries("z.h").alias("h")))
     joined = carried.where("not full").join(F.broadcast(handed), ["u", "part"], "left").select("r", "e", "m", "h", F.coalesce(own, other).alias("x"))
-    lost = rows.where("not full and (u is null or t is null)").select("r", "e", "m", "h", F.lit(None).cast(joined.schema["x"].dataType).alias("x"))
+    lost = rows.where("kind = 'revisit' and (url is null or ts is null)").select(*fields).select("r", "e", "m", "h", F.lit(None).cast(joined.schema["x"].dataType).alias("x"))
     by_etag, by_time = F.col("e") == F.col("x.e"), F.col("m") == F.col("x.m")
     agree = F.coalesce(by_etag, by_time)
     ok = F.coalesce(agree, F.lit(False))
