@@ -14,10 +14,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch; a longer row is a batch of its own
 _written: list[tuple[SparkSession, str]] = []
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Python workers of this session get Arrow batches of ``BATCH_BYTES`` at most, unless it has a bound of its own. Spark's
+    default is 64 MB, which a task holds outside of the heap, and its worker again."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
+    bound_batches(spark)
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
