@@ -11,6 +11,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,18 +47,32 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str = "table") -> DataFrame:
+    """What ``make`` returns, settled; the tables written meanwhile are deleted. No other frame may read them."""
+    first = len(_written)
+    out = settle(make(), name)
+    spent = _written[first:-1]
+    del _written[first:-1]
+    for owner, path in spent:
+        _delete(owner, path)
+    return out
+
+
 def register(spark: SparkSession, path: str) -> None:
     """A folder that ``release`` is to delete."""
     _written.append((spark, path))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the registered folders, those that ``settle`` wrote among them; frames that read them must be done."""
     for owner, path in [w for w in _written if w[0] is spark]:
-        with contextlib.suppress(Exception):
-            jvm, conf = owner._jvm, owner._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+        _delete(owner, path)
         _written.remove((owner, path))
 
 

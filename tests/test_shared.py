@@ -1,7 +1,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from millrace.operators.shared import BATCH_BYTES, settle, shared_dir
+from millrace.operators.shared import BATCH_BYTES, settle, settle_alone, shared_dir
 
 
 def batch_sizes(rows):
@@ -31,3 +31,17 @@ def test_a_session_keeps_its_own_bound(spark):
         assert spark.conf.get(name) == "1m"
     finally:
         spark.conf.set(name, before)
+
+
+def test_spent_tables_are_deleted(spark):
+    before = settle(spark.range(3), "before")
+    made = []
+
+    def make():
+        made.append(settle(spark.range(5), "spent"))
+        return made[0].where("id > 1")
+
+    out = settle_alone(spark, make, "result")
+    assert out.count() == 3 and before.count() == 3
+    files = spark._jvm.org.apache.hadoop.fs.Path(made[0].inputFiles()[0])
+    assert not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files)
