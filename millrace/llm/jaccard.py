@@ -27,7 +27,7 @@ from millrace.llm.components import components
 from millrace.llm.decontaminate import pieces_of, text_buffers, word_hashes
 from millrace.llm.sieve import Sieve
 from millrace.llm.worker import trimmed
-from millrace.operators.shared import settle
+from millrace.operators.shared import settle, settle_alone
 
 # words are [^\x20\x09-\x0D]+ with A-Z as a-z; values from 1 so that the byte 0 counts
 _WORD = np.arange(1, 257, dtype=np.uint16)
@@ -333,10 +333,14 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
     Rows that surely have no partner pass straight through; only the others meet the table of decisions.
     """
-    found = settle(jaccard_components(docs, key, text, width, percent), "components")
-    worded = found.where("n_shingles > 0").select(F.col(key).alias("_k"), F.col("class_id").alias("_of"), F.col("component_id").alias("_g"), F.col("root").alias("_r"))
-    groups = worded.groupBy("_r").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    grouped = settle(worded.join(groups, "_r", "left_semi"), "grouped")
+
+    def partners() -> DataFrame:
+        found = settle(jaccard_components(docs, key, text, width, percent), "components")
+        worded = found.where("n_shingles > 0").select(F.col(key).alias("_k"), F.col("class_id").alias("_of"), F.col("component_id").alias("_g"), F.col("root").alias("_r"))
+        groups = worded.groupBy("_r").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        return worded.join(groups, "_r", "left_semi")
+
+    grouped = settle_alone(docs.sparkSession, partners, "grouped")
     hashes = grouped.select(F.coalesce(F.hash("_k"), F.lit(0)).cast("bigint").alias("h"))
     sieve, columns = Sieve(hashes, "h"), docs.columns
     numbered = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)], F.coalesce(F.hash(key), F.lit(0)).cast("bigint").alias("h"))
